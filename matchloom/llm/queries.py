@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, radix_dedup, simhash, spiece, tokenout
+from . import langid, mixing, radix_dedup, secretscan, simhash, spiece, tokenout
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenout.write_and_read(_table(spark, sf_dir, "documents"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.scan_report(_table(spark, sf_dir, "documents"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spiece.encode_report(_table(spark, sf_dir, "documents"))
 
@@ -38,7 +42,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_token_ids, op5_sentencepiece, op6_exact_dedup, op10_simhash_dedup)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_token_ids, op4_secret_scan, op5_sentencepiece, op6_exact_dedup, op10_simhash_dedup)}
 
 
 OP6 = """

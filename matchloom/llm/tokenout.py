@@ -42,7 +42,7 @@ BLOCK_IDS = 1 << 20
 ROUNDS, RULES_A_ROUND, RULES, LEAST = 4, 4096, 15_000, 8
 KEPT_WORDS = 400_000
 #: White space as the vocabulary's pattern has it (fixed values: Unicode White_Space).
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r " + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def tokenizer_path() -> str:
