@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, radix_dedup, secretscan, simhash, spiece, tokenout
+from . import langid, mixing, pii, radix_dedup, secretscan, simhash, spiece, tokenout
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,12 +37,16 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix_dedup.dedup_report(_table(spark, sf_dir, "documents"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan_report(_table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.dedup_report(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_token_ids, op4_secret_scan, op5_sentencepiece, op6_exact_dedup, op10_simhash_dedup)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_token_ids, op4_secret_scan, op5_sentencepiece, op6_exact_dedup, op7_personal_data, op10_simhash_dedup)}
 
 
 OP6 = """
