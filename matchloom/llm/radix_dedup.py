@@ -7,7 +7,7 @@ more go on to the next digit. Texts are equal when all their digits are: no dige
 
 A level counts its groups with a map-side combine (a group of copies is one row per task, however
 large it is), then joins the counts back to the rows; both sides of the join are read from
-shuffles, so that adaptive execution can split a hot group. Groups are named by their smallest
+shuffles (a merge join at every size), so that adaptive execution can split a hot group. Groups are named by their smallest
 row id, so keys stay short.
 
 Defined results: null text counts as empty; the row with the largest doc_id stays (null below
@@ -46,7 +46,7 @@ def equal_groups(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     shared = materialize(shared.withColumn("_group", F.monotonically_increasing_id()).select("_len", "_d", "_group"), "radix-groups")
     # all rows once: those alone in their group lose their text, the others keep it for the next digits
     rows = materialize(
-        keyed.join(shared, ["_len", "_d"], "left").select(
+        keyed.join(shared.hint("merge"), ["_len", "_d"], "left").select(
             "_row", "_doc_id", *kept, "_len", "_group",
             F.sha2(F.col("_data"), 256).alias("_sha"),
             F.when(F.col("_group").isNotNull() & (F.col("_len") > FIRST), F.col("_data")).alias("_data"),
@@ -63,7 +63,7 @@ def equal_groups(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         shared = materialize(shared.select("_group", "_d", "_next"), "radix-groups")
         start, width = start + width, width * FACTOR
         live = materialize(
-            cut.join(shared, ["_group", "_d"]).select(
+            cut.join(shared.hint("merge"), ["_group", "_d"]).select(
                 "_row", "_doc_id", "_len", F.col("_next").alias("_group"),
                 F.when(F.col("_len") > start, F.col("_data")).alias("_data"),
             ),
