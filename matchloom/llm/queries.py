@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, pii, radix_dedup, secretscan, simhash, spiece, tokenout
+from . import langid, mixing, pii, radix_dedup, secretscan, simhash, spiece, tokenout, vecdup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,12 +41,16 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan_report(_table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vecdup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.dedup_report(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_token_ids, op4_secret_scan, op5_sentencepiece, op6_exact_dedup, op7_personal_data, op10_simhash_dedup)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_token_ids, op4_secret_scan, op5_sentencepiece, op6_exact_dedup, op7_personal_data, op8_embedding_dedup, op10_simhash_dedup)}
 
 
 OP6 = """
@@ -56,5 +60,18 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+#: All pairs of different vectors by brute force, then everything reachable by links.
+OP8 = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b
+  ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+parts AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT vec_id, (SELECT count(*) FROM links l WHERE l.x = v.vec_id) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN parts ON x = vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6}
+    return {"op6_exact_dedup": OP6, "op8_embedding_dedup": OP8}
