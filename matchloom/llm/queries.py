@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, pii, radix_dedup, secretscan, simhash, spiece, tokenout, vecdup
+from . import htmlmain, langid, mixing, pii, radix_dedup, secretscan, simhash, spiece, tokenout, vecdup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,12 +45,16 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vecdup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlmain.extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.dedup_report(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_token_ids, op4_secret_scan, op5_sentencepiece, op6_exact_dedup, op7_personal_data, op8_embedding_dedup, op10_simhash_dedup)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_token_ids, op4_secret_scan, op5_sentencepiece, op6_exact_dedup, op7_personal_data, op8_embedding_dedup, op9_html_text, op10_simhash_dedup)}
 
 
 OP6 = """
