@@ -68,7 +68,7 @@ def _rates(sizes: DataFrame, weights: Sequence[int], max_repeat: int, seed: int)
 
 def mix_plan(docs: DataFrame, keep: Sequence[str] = (), weights: Sequence[int] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = SEED) -> DataFrame:
     """One row per document: ``_doc_id, _source, _size, _source_size, _target, _copies`` and the
-    columns ``keep`` as they are."""
+    columns ``keep`` as ``_keep_i``."""
     sized = docs.select(
         *[F.col(f"`{c}`").alias(f"_keep_{i}") for i, c in enumerate(keep)],
         F.col("doc_id").alias("_doc_id"),
@@ -81,7 +81,7 @@ def mix_plan(docs: DataFrame, keep: Sequence[str] = (), weights: Sequence[int] =
     nth = F.col("_rank") - F.col("_first")
     crossed = F.floor(F.col("_offset") + F.col("_rate") * (nth + 1)) - F.floor(F.col("_offset") + F.col("_rate") * nth)
     return ranked.join(rates, ["_last", "_key"]).select(
-        *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)],
+        *[f"_keep_{i}" for i in range(len(keep))],
         "_doc_id", "_source", "_size", "_source_size", "_target", crossed.cast("long").alias("_copies"),
     )
 
@@ -103,4 +103,4 @@ def mix(docs: DataFrame, **kw) -> DataFrame:
     """The mix itself: each document as many times as its step crosses a boundary."""
     plan = mix_plan(docs, keep=docs.columns, **kw)
     copies = plan.withColumn("_one", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int"))))
-    return copies.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return copies.select(*[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(docs.columns)])
