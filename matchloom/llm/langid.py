@@ -140,9 +140,9 @@ class PPM:
         names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
         lines = [_bytes(t) for t in texts]
         todo = [i for i, x in enumerate(lines) if x and self.langs]
-        while todo:  # about 1 MB at a time, or one text
+        while todo:  # about 256 KB at a time, or one text
             some, total = [], 0
-            while todo and (not some or total < 1 << 20):
+            while todo and (not some or total < 1 << 18):
                 some.append(todo.pop())
                 total += len(lines[some[-1]])
             n = np.array([len(lines[i]) for i in some])
