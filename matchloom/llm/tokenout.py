@@ -15,7 +15,7 @@ or uint32), doc_id (int64), null flags of doc_id (uint8), first symbol and first
 document (uint32, one more entry at the end). Shards and blocks ascend with doc_id.
 
 Defined results: null text counts as empty (its one id is the end id); null doc_id comes first;
-rows that repeat a doc_id are documents of their own, in a fixed order by text; empty tables
+rows that repeat a doc_id are documents of their own, in a fixed order by a hash of the text; empty tables
 give no files' rows; further columns are ignored.
 """
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,27 +35,38 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, materialize
+from .wordtable import WordTable
 
 END = 0
 MAGIC = 0x31475052
 BLOCK_IDS = 1 << 20
 #: Rounds of a block, rules of a round and of a block, and the least count of a pair.
 ROUNDS, RULES_A_ROUND, RULES, LEAST = 4, 4096, 15_000, 8
-KEPT_WORDS = 400_000
+KEPT_WORDS = 1_000_000
 #: White space as the vocabulary's pattern has it (fixed values: Unicode White_Space).
 SPACE = r"\t-\r " + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+#: Words with the space before them: cuts that the vocabulary's pattern makes in any text.
+COARSE = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: Latin letters, and texts of nothing but these and ASCII; there the whole pattern is plain.
+LATIN = "A-Za-z" + "-".join(map(chr, (0xC0, 0xD6))) + "-".join(map(chr, (0xD8, 0xF6))) + "-".join(map(chr, (0xF8, 0x24F)))
+PLAIN = re.compile(rf"[ -~\t\n\r{LATIN}]*")
+FINE = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LATIN}]+| ?[0-9]+| ?[^\s0-9{LATIN}]+|\s+(?!\S)|\s+")
 
 
 def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _pieces(text: str) -> list[str]:
+    return (FINE if text.isascii() and text.isprintable() or PLAIN.fullmatch(text) else COARSE).findall(text)
+
+
 class Encoder:
     """Encodes texts to bytes of little-endian unsigned 32-bit ids.
 
-    A byte-level vocabulary without normaliser and prefix space never joins over the start of a
-    word with the space before it, so words are encoded once each and kept in a bounded table;
-    any other vocabulary gets whole texts.
+    A byte-level vocabulary without normaliser and prefix space never joins over the cuts that its
+    pattern makes, so pieces between cuts are encoded once each and kept in a bounded table; any
+    other vocabulary gets whole texts. ``array("I")`` is little-endian on Spark's platforms.
     """
 
     def __init__(self, data: bytes) -> None:
@@ -65,22 +77,34 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         pre = self.tokenizer.pre_tokenizer
         plain = isinstance(pre, pre_tokenizers.ByteLevel) and not pre.add_prefix_space and pre.use_regex and self.tokenizer.normalizer is None
-        word = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-        self.split = word.findall if plain else lambda t: [t] * bool(t)
-        self.known: dict[str, bytes] = {}
+        self.split = _pieces if plain else lambda t: [t] * bool(t)
+        self.table = WordTable(self._joined if plain else self._apart, KEPT_WORDS)
+        # the ids that start with a space
+        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token[0] == "\u0120"]] = True
+
+    def _apart(self, words: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _joined(self, words: list[str]) -> list[bytes]:
+        """Words that start with a space and have no other are encoded as one text, which the
+        pattern cuts before each, and told apart by the ids that start with a space."""
+        spaced = [w for w in words if w[0] == " " and w[1:] and not w[1].isspace()]
+        rest = [w for w in words if not (w[0] == " " and w[1:] and not w[1].isspace())]
+        got = dict(zip(rest, self._apart(rest))) if rest else {}
+        for at in range(0, len(spaced), 4096):
+            some = spaced[at : at + 4096]
+            ids = array("I", self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids)
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) != len(some):  # a vocabulary with other spaces
+                got |= zip(some, self._apart(some))
+                continue
+            data, edges = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+            got |= zip(some, [data[x:y] for x, y in zip(edges, edges[1:])])
+        return [got[w] for w in words]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [self.split(t) for t in texts]
-        new = list(set().union(*parts) - self.known.keys())
-        if len(self.known) + len(new) > KEPT_WORDS:
-            self.known = {}
-            new = list(set().union(*parts))
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for word, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[word] = np.array(got.ids, "<u4").tobytes()
-        known = self.known
-        return [b"".join([known[w] for w in p]) for p in parts]
+        return self.table.ids([self.split(t) for t in texts])
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -101,9 +125,12 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarray, np
     is the symbol base + i.
     """
     seq, left, right = ids.astype(np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    # a pair in one number, as short as the symbols allow
+    pack, shift = (np.uint32, 16) if base + RULES <= 1 << 16 else (np.uint64, 32)
     for _ in range(ROUNDS):
         room = min(RULES_A_ROUND, RULES - len(left))
-        pairs = ((seq[:-1] << 32) | seq[1:])[~last[:-1]]
+        wide = seq.astype(pack)
+        pairs = ((wide[:-1] << pack(shift)) | wide[1:])[~last[:-1]]
         if room <= 0 or not len(pairs):
             break
         pairs.sort()
@@ -113,17 +140,18 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarray, np
         often = often[np.lexsort((kinds[often], -count[often]))[:room]]
         if not len(often):
             break
-        a, b = kinds[often] >> 32, kinds[often] & 0xFFFFFFFF
+        a, b = (kinds[often] >> pack(shift)).astype(np.int64), (kinds[often] & pack((1 << shift) - 1)).astype(np.int64)
         top = base + len(left)
         # a rule for each chosen (left, right), looked up over the symbols that are in one
         lefts, rights = np.unique(a), np.unique(b)
-        row, col = np.zeros(top, np.int32), np.zeros(top, np.int32)
-        row[lefts], col[rights] = np.arange(1, len(lefts) + 1), np.arange(1, len(rights) + 1)
+        row, col = np.zeros(top, np.int64), np.zeros(top, np.int64)
+        row[lefts], col[rights] = np.arange(1, len(lefts) + 1) * (len(rights) + 1), np.arange(1, len(rights) + 1)
         table = np.zeros((len(lefts) + 1) * (len(rights) + 1), np.int32)
-        table[row[a] * (len(rights) + 1) + col[b]] = np.arange(top, top + len(a))
-        rule = table[row[seq[:-1]] * (len(rights) + 1) + col[seq[1:]]]
-        rule[last[:-1]] = 0
-        hit = rule > 0
+        table[row[a] + col[b]] = np.arange(top, top + len(a))
+        place = row.take(seq[:-1])
+        place += col.take(seq[1:])
+        rule = table.take(place)
+        hit = (rule > 0) & ~last[:-1]
         # of overlapping occurrences each second one goes, from the left
         at = np.flatnonzero(hit)
         first = np.concatenate([[True], np.diff(at) > 1]) if len(at) else np.empty(0, bool)
@@ -142,14 +170,13 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarray, np
 
 def expand(seq: np.ndarray, left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
     """The ids that symbols stand for."""
-    seq = seq.astype(np.int64)
-    while (rule := seq >= base).any():
-        size = 1 + rule.astype(np.int64)
-        start = np.cumsum(size) - size
-        out = np.empty(int(size.sum()), np.int64)
-        which = seq[rule] - base
-        out[start] = seq
-        out[start[rule]], out[start[rule] + 1] = left[which], right[which]
+    seq = seq.astype(np.int32)
+    left, right = left.astype(np.int32), right.astype(np.int32)
+    while len(at := np.flatnonzero(seq >= base)):
+        # each rule's symbol makes room for one more
+        which = seq[at] - base
+        out = np.insert(seq, at + 1, right[which])
+        out[at + np.arange(len(at))] = left[which]
         seq = out
     return seq.astype("<u4")
 
@@ -243,7 +270,8 @@ def write_blocks(docs: DataFrame, path: str | None = None, name: str = "token-id
         if held:
             yield flush()
 
-    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    dealt = docs.select("doc_id", "text").withColumn("_tie", F.xxhash64("text"))
+    dealt = dealt.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").select("doc_id", "text")
     return materialize(dealt.mapInArrow(run, "shard int, block int, n_ids long, payload binary"), name)
 
 
