@@ -56,7 +56,8 @@ def _rates(sizes: DataFrame, weights: Sequence[int], max_repeat: int, seed: int)
     target = F.least(cap, F.col("_w") * F.lit(level))
     rate = F.when(F.col("_source_size") > 0, F.least(target / F.col("_source_size"), F.lit(float(max_repeat)))).otherwise(0.0)
     # a multiple of 2**-20, so that adding it to a large prefix sum stays exact
-    offset = F.pmod(F.xxhash64(F.lit(seed), "_last", "_key"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_last").cast("string"), "_key")), 1, 5)
+    offset = F.conv(digits, 16, 10).cast("long") / F.lit(float(1 << 20))
     # ranks within a source start where those of the sources before it end; a row per source
     before = Window.orderBy("_nth").rowsBetween(Window.unboundedPreceding, -1)
     firsts = F.coalesce(F.sum("_docs").over(before), F.lit(0))

@@ -57,6 +57,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_token_ids, op4_secret_scan, op5_sentencepiece, op6_exact_dedup, op7_personal_data, op8_embedding_dedup, op9_html_text, op10_simhash_dedup)}
 
 
+#: Targets from the level that each round raises; copies from the prefix sums of one source.
+OP1 = """
+WITH RECURSIVE sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+per AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+w AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w, 3.0::DOUBLE * source_size AS cap FROM per),
+level(k, x) AS (
+  SELECT 0, 0::DOUBLE UNION ALL
+  SELECT k + 1, greatest(x, (SELECT (sum(source_size)::DOUBLE - coalesce(sum(cap) FILTER (cap <= w * x), 0)) / sum(w) FILTER (cap > w * x) FROM w)) FROM level WHERE k < 40),
+rates AS (
+  SELECT source, source_size, least(cap, w * (SELECT max(x) FROM level)) AS target,
+    CASE WHEN source_size > 0 THEN least(least(cap, w * (SELECT max(x) FROM level)) / source_size, 3.0::DOUBLE) ELSE 0 END AS rate,
+    ('0x' || substr(md5('20|' || CASE WHEN source IS NULL THEN 'true|' ELSE 'false|' || source END), 1, 5))::BIGINT / 1048576.0::DOUBLE AS u FROM w),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, doc_id) AS n FROM sized)
+SELECT doc_id, r.source, size, source_size, target, (floor(u + rate * n) - floor(u + rate * (n - 1)))::BIGINT AS copies,
+  (floor(u + rate * n) - floor(u + rate * (n - 1)))::BIGINT * size AS taken
+FROM ranked r JOIN rates p ON r.source IS NOT DISTINCT FROM p.source
+"""
+
 OP6 = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -78,4 +97,4 @@ FROM v JOIN parts ON x = vec_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6, "op8_embedding_dedup": OP8}
+    return {"op1_mix_sources": OP1, "op6_exact_dedup": OP6, "op8_embedding_dedup": OP8}
