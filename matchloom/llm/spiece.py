@@ -3,9 +3,9 @@
 The model file's protobuf is parsed here; from it come the normaliser (character map, dummy
 prefix, extra white space), the metaspace marker, the piece scores and the byte fallback. Unigram
 models become a Unigram model, BPE models a BPE model whose merges follow from the scores. Where
-no piece goes on over a marker (checked against the pieces), a text's words are encoded once
-each and kept in a bounded table. Every text is also encoded by the sentencepiece library;
-``parity`` says whether both agree.
+no piece goes over a cut between words, or between letters and others (checked against the
+pieces), a text's parts are encoded once each and kept in a bounded table. Every text is also
+encoded by the sentencepiece library; ``parity`` says whether both agree.
 
 Defined results: null counts as empty; an empty text has no ids and decodes to itself; repeated
 rows are encoded each; further columns are ignored by ``encode_report`` and kept by ``encode``.
@@ -17,6 +17,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bounded_batches
+from .tokenout import LATIN
+from .wordtable import WordTable
 
 MARK = "▁"
-#: Words whose ids a worker keeps.
-KEPT_WORDS = 400_000
 THREADS = 2
+#: Words whose ids a worker keeps.
+KEPT_WORDS = 500_000
 #: Types of pieces in the model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -90,6 +93,15 @@ class Model:
         plain = [p for p, _, kind in self.pieces if kind in (NORMAL, USER)]
         #: whether words, each with the markers before it, are encoded apart from each other
         self.by_word = not any(re.search(f"[^{MARK}]{MARK}", p) for p in plain)
+        #: whether runs of Latin letters are encoded apart from what else a word has
+        self.by_letters = self.by_word and not any(re.search(f"[{LATIN}][^{LATIN}]|[^{LATIN}{MARK}][{LATIN}]", p) for p in plain)
+
+    def cuts(self) -> str | None:
+        """A pattern of the parts that are encoded apart; None if texts are encoded whole. No piece
+        goes over a cut, so neither merges nor the best path ever join its two sides."""
+        if self.by_letters:
+            return f"{MARK}*[{LATIN}]+|{MARK}*[^{LATIN}{MARK}]+|{MARK}+"
+        return f"{MARK}*[^{MARK}]+|{MARK}+" if self.by_word else None
 
     def merges(self) -> list[tuple[str, str]]:
         """All ways to join two pieces to a third, the highest score first."""
@@ -141,8 +153,12 @@ class Codec:
         self.words = Tokenizer(self.model.core())
         self.normalizer, self.decoder = self.model.normalizer(), self.model.decoder()
         self.other = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.known: dict[str, bytes] = {}
-        self.split = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall if self.model.by_word else lambda t: [t] * bool(t)
+        # the library spreads a batch over its threads
+        self.table = WordTable(lambda words: [array("I", x.ids).tobytes() for x in self.words.encode_batch_fast(words, add_special_tokens=False)], KEPT_WORDS)
+        # what each id stands for: a byte piece its byte, a control piece nothing, others their text
+        self.bytes = [self._meaning(*p) for p in self.model.pieces]
+        cuts = self.model.cuts()
+        self.split = re.compile(cuts).findall if cuts else lambda t: [t] * bool(t)
 
     def normalized(self, text: str) -> str:
         m = self.model
@@ -152,26 +168,26 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as unsigned 32-bit integers."""
-        parts = [self.split(self.normalized(t)) for t in texts]
-        new = list(set().union(*parts) - self.known.keys())
-        if len(self.known) + len(new) > KEPT_WORDS:
-            self.known = {}
-            new = list(set().union(*parts))
-        # batches of like total length go over the library's threads
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for word, got in zip(some, self.words.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[word] = np.array(got.ids, "<u4").tobytes()
-        known = self.known
-        return [np.frombuffer(b"".join([known[w] for w in p]), "<u4") for p in parts]
+        return [np.frombuffer(x, "<u4") for x in self.table.ids([self.split(self.normalized(t)) for t in texts])]
 
     def parity(self, texts: list[str], ids: list[np.ndarray]) -> list[bool]:
         """Whether the sentencepiece library has the same ids."""
-        return [np.array_equal(np.array(a, "<u4"), b) for a, b in zip(self.other.encode(texts, num_threads=THREADS), ids)]
+        return [array("I", a).tobytes() == b.tobytes() for a, b in zip(self.other.encode(texts, num_threads=THREADS), ids)]
+
+    @staticmethod
+    def _meaning(piece: str, _: float, kind: int) -> bytes:
+        if kind == BYTE:
+            return bytes([int(piece[3:5], 16)])
+        return b"" if kind == CONTROL else piece.replace(MARK, " ").encode()
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
-        names = [p for p, _, _ in self.model.pieces]
-        return [self.decoder.decode([names[i] for i in x.tolist()]) if len(x) else "" for x in ids]
+        """The texts of ids; bytes that are no UTF-8 become replacement characters."""
+        out = [b"".join(map(self.bytes.__getitem__, x.tolist())).decode("utf-8", "replace") for x in ids]
+        return [t[1:] if self.model.dummy_prefix and t[:1] == " " else t for t in out]
+
+    def decode_by_library(self, ids: list[np.ndarray]) -> list[str]:
+        """As ``decode``, by the tokenizers library (slower)."""
+        return [self.decoder.decode([self.model.pieces[i][0] for i in x.tolist()]) if len(x) else "" for x in ids]
 
 
 _CODECS: dict[int, Codec] = {}
@@ -208,7 +224,7 @@ def encode(docs: DataFrame, path: str | None = None, column: str = "ids") -> Dat
             flat = np.concatenate([np.empty(0, "<u4"), *ids]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.ListArray.from_arrays(ends, flat)], names=[*rest, column])
 
-    return docs.select(*[F.col(f"`{c}`") for c in rest], F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`").alias(f"_keep_{i}") for i, c in enumerate(rest)], F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
 def encode_report(docs: DataFrame, path: str | None = None) -> DataFrame:
