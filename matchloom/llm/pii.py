@@ -5,8 +5,8 @@ The corpus says how strongly a term reveals one: with n documents, of which n_e
 n_t the term and n_et the entity with the term near it, the entity's information content is
 IC = log2(n / n_e) and the pointwise mutual information is PMI = log2(n * n_et / (n_e * n_t)).
 A term discloses the entity if PMI >= ``DISCLOSURE`` * IC and entity and term meet in
-``SUPPORT`` or more different windows of ``NEAR`` characters to either side (copies of a
-passage are one window). Every occurrence of such a term as a whole word, in any document, is a
+``SUPPORT`` or more different texts of ``NEAR`` characters before, and as many after it (copies of
+a passage are one, and near copies seldom differ on both sides). Every occurrence of such a term as a whole word, in any document, is a
 span of kind ``term``; ``sanitize`` generalises a span to its kind's label, or removes it.
 
 All in DataFrame functions. Entities are counted first; only those with enough windows have
@@ -86,21 +86,21 @@ def disclosing_terms(rows: DataFrame) -> DataFrame:
     entities = rows.select("_row", "_text", F.explode(F.concat(*[F.transform(F.col(f"_{k}"), lambda x: x) for k in KINDS])).alias("x"))
     entities = entities.select(
         "_row", F.lower("x.m").alias("entity"),
-        # the text on both sides of the entity, without it
-        F.lower(F.concat(
-            F.substring("_text", F.greatest(F.col("x.s") - NEAR, F.lit(0)) + 1, F.least(F.col("x.s"), F.lit(NEAR))), F.lit(" "),
-            F.substring("_text", F.col("x.e") + 1, F.lit(NEAR)),
-        )).alias("near"),
+        # the text on either side of the entity, without it
+        F.lower(F.substring("_text", F.greatest(F.col("x.s") - NEAR, F.lit(0)) + 1, F.least(F.col("x.s"), F.lit(NEAR)))).alias("left"),
+        F.lower(F.substring("_text", F.col("x.e") + 1, F.lit(NEAR))).alias("right"),
     )
+    different = F.least(F.countDistinct("l"), F.countDistinct("r")).alias("windows")
+    entities = entities.select("_row", "entity", F.concat_ws(" ", "left", "right").alias("near"), F.xxhash64("left").alias("l"), F.xxhash64("right").alias("r"))
     near = materialize(entities, "pii-near")
-    often = near.groupBy("entity", F.xxhash64("near").alias("w")).agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("windows"))
+    often = near.groupBy("entity").agg(different)
     often = materialize(often.where(F.col("windows") >= SUPPORT).select("entity"), "pii-entities")
     none = rows.sparkSession.createDataFrame([], "term string")
     if often.isEmpty():
         return none
-    pairs = near.join(often, "entity").select("_row", "entity", F.xxhash64("near").alias("w"), F.explode(F.array_distinct(F.regexp_extract_all("near", F.lit(TERM), F.lit(0)))).alias("term"))
+    pairs = near.join(often, "entity").select("_row", "entity", "l", "r", F.explode(F.array_distinct(F.regexp_extract_all("near", F.lit(TERM), F.lit(0)))).alias("term"))
     pairs = materialize(pairs.where(F.length("term") >= LEAST_TERM), "pii-pairs")
-    windows = pairs.groupBy("entity", "term", "w").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("windows")).where(F.col("windows") >= SUPPORT)
+    windows = pairs.groupBy("entity", "term").agg(different).where(F.col("windows") >= SUPPORT)
     both = pairs.groupBy("entity", "term", "_row").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("n_et"))
     met = materialize(both.join(windows, ["entity", "term"]), "pii-met")
     if met.isEmpty():
