@@ -6,8 +6,9 @@ n_t the term and n_et the entity with the term near it, the entity's information
 IC = log2(n / n_e) and the pointwise mutual information is PMI = log2(n * n_et / (n_e * n_t)).
 A term discloses the entity if PMI >= ``DISCLOSURE`` * IC and entity and term meet in
 ``SUPPORT`` or more different texts of ``NEAR`` characters before, and as many after it (copies of
-a passage are one, and near copies seldom differ on both sides). Every occurrence of such a term as a whole word, in any document, is a
-span of kind ``term``; ``sanitize`` generalises a span to its kind's label, or removes it.
+a passage are one, and near copies seldom differ on both sides). Every occurrence of such a term
+as a whole word, in any document, is a span of kind ``term``; ``sanitize`` generalises a span to
+its kind's label, or removes it.
 
 All in DataFrame functions. Entities are counted first; only those with enough windows have
 their terms counted, and the words of the corpus are summed per task before they are shuffled
@@ -34,7 +35,8 @@ from .spans import EMPTY, JOINT, find, joined, labelled
 _RUN = r"(?:(?<![{0}])|\G)[{0}]++"
 EMAIL = _RUN.format(rf"A-Za-z0-9._%+{JOINT}-") + rf"@[A-Za-z0-9-]++{JOINT}[A-Za-z0-9{JOINT}-]++"
 IP = _RUN.format("0-9") + r"\.[0-9]++\.[0-9]++\.[0-9]++"
-CARD = rf"[0-9{JOINT}]{{2,}}"
+#: Runs of under 14 characters hold too few digits and never match elsewhere.
+CARD = rf"[0-9{JOINT}]{{14,}}"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"[\p{L}\p{N}]+"
 LEAST_TERM = 5
@@ -134,9 +136,11 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         return rows.withColumn("_term", F.array().cast(EMPTY))
     # the documents that have such a term, with their terms: a word list bounded by the text
     have = rows.select("_row", F.explode(_words(text)).alias("term")).join(terms, "term").groupBy("_row").agg(F.collect_list("term").alias("_terms"))
-    runs = find(F.col("_text"), TERM)
     base = F.concat(*[F.col(f"_{k}") for k in KINDS])
-    hit = F.filter(runs, lambda x: F.array_contains("_terms", F.lower(x["m"])) & ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    # whole words in any case; a term is letters and digits, so it is its own pattern
+    word = lambda t: F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])"), t, F.lit(r"(?![\p{L}\p{N}])"))
+    runs = F.flatten(F.transform("_terms", lambda t: find(text, word(t))))
+    hit = F.filter(runs, lambda x: ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
     out = rows.join(have, "_row", "left").withColumn("_term", F.when(F.col("_terms").isNotNull(), hit).otherwise(F.array().cast(EMPTY)))
     return out.drop("_terms")
 

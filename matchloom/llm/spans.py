@@ -15,30 +15,44 @@ from pyspark.sql import functions as F
 #: Stands for a separator inside a run, so that a run is one class of characters: loops over
 #: groups would recurse in the regular-expression engine on long runs.
 JOINT, NOT_JOINT = chr(0xE000), chr(0xE001)
+BLOCK = 128
 EMPTY = "array<struct<s:int,e:int,m:string>>"
 
 
-def find(text: Column, pattern: str, shown: Column | None = None, where: Column | None = None) -> Column:
+def _running(steps: Column, start: Column) -> Column:
+    """Struct (at, out): spans of ``steps`` (g, n: lengths of gap and match) from ``start`` on."""
+    state = F.struct(start.alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        s = a["at"] + x["g"]
+        return F.struct((s + x["n"]).alias("at"), F.concat(a["out"], F.array(F.struct(s.alias("s"), (s + x["n"]).alias("e")))).alias("out"))
+
+    return F.aggregate(steps, state, step)
+
+
+def find(text: Column, pattern: str | Column, shown: Column | None = None, where: Column | None = None) -> Column:
     """All matches of ``pattern`` from the left that do not overlap.
 
     ``shown`` is the text to cut matches from if ``text`` was marked with ``joined`` (it has the
     same length); ``where`` is a cheap test that texts with a match pass.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    # running sums: start of match i = lengths of gaps 0..i and matches 0..i-1
+    regex = F.lit(pattern) if isinstance(pattern, str) else pattern
+    found = F.regexp_extract_all(text, regex, F.lit(0))
+    gaps = F.split(text, regex, -1)
+    # start of match i = lengths of gaps 0..i and matches 0..i-1
     steps = F.arrays_zip(F.transform(found, lambda m: F.length(m)).alias("n"), F.slice(F.transform(gaps, lambda g: F.length(g)), 1, F.size(found)).alias("g"))
-    sums = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + x["g"] + x["n"]).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + x["g"]).alias("s"), (a["at"] + x["g"] + x["n"]).alias("e")))).alias("out"),
-        ),
-    )["out"]
+    # an array grows by copying, so blocks of matches are summed apart: no long array grows by ones
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(found) / BLOCK).cast("int")), lambda k: F.slice(steps, k * BLOCK + 1, BLOCK))
+    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<s:int,e:int>>>").alias("out"))
+
+    def block(a: Column, x: Column) -> Column:
+        part = F.transform(F.array(_running(x, a["at"])), lambda r: F.struct(r["at"].alias("at"), F.concat(a["out"], F.array(r["out"])).alias("out")))
+        return part[0]
+
+    sums = F.flatten(F.aggregate(blocks, state, block)["out"])
     source = text if shown is None else shown
     out = F.transform(sums, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.substring(source, x["s"] + 1, x["e"] - x["s"]).alias("m")))
-    test = text.rlike(pattern) if where is None else where
+    test = F.rlike(text, regex) if where is None else where
     return F.when(test, out).otherwise(F.array().cast(EMPTY))
 
 

@@ -162,3 +162,8 @@ def test_scans_over_the_tables(spark):
     found = queries()["op4_secret_scan"](spark, "/root/testdata/sf0.01").collect()
     kinds = ("assign", "access", "hex")
     assert all(r["base_sha256"] == hashlib.sha256(joined(base_secrets(rows[r["doc_id"]]), kinds).encode()).hexdigest() for r in found) and len(found) == len(rows)
+
+
+def test_many_matches_in_a_text(spark):
+    check_secrets(spark, [" ".join(f"{i:032x}" for i in range(n)) for n in (127, 128, 129, 3000)])
+    check_pii(spark, [" ".join(f"1.2.3.{i % 256} a{i}@b.co" for i in range(1500)), "12 " * 5000 + "4111111111111111"])
