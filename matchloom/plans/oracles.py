@@ -211,13 +211,12 @@ under AS (SELECT u.iri, u.top, e.parent FROM t_up u JOIN t_edges e ON e.child =
 _S_UP = "s_up(iri, ancestor) AS (SELECT child, parent FROM s_edges UNION SELECT u.iri, e.parent FROM s_up u JOIN s_edges e ON e.child = u.ancestor)"
 
 SQL = {
-    "label_normalize": _with(_BASE) + """, o AS (
-  SELECT onto, iri, label, min(CASE WHEN starts_with(label, 'brand#') THEN 0 ELSE 1 END) AS p,
-    min(CASE onto WHEN 'SRC' THEN label ELSE label END) AS k FROM labels GROUP BY onto, iri, label)
-SELECT onto, iri, count(*) AS n_labels, string_agg(label, '|' ORDER BY p, raw) AS labels FROM (
-  SELECT o.*, min(t) AS raw FROM o JOIN (
-    SELECT onto, iri, p_brand || '_' || name AS t FROM classed UNION ALL SELECT onto, iri, CASE onto WHEN 'SRC' THEN p_type || '_' || name ELSE name || '_' || p_type END FROM classed) r
-  ON r.onto = o.onto AND r.iri = o.iri AND replace(lower(t), '_', ' ') = o.label GROUP BY ALL) GROUP BY onto, iri""",
+    "label_normalize": _with(_BASE, """
+raw AS (
+  SELECT onto, iri, 0 AS place, p_brand || '_' || name AS t FROM classed
+  UNION ALL SELECT onto, iri, 1, CASE onto WHEN 'SRC' THEN p_type || '_' || name ELSE name || '_' || p_type END FROM classed),
+firsts AS (SELECT onto, iri, replace(lower(t), '_', ' ') AS label, min(place) AS place, min(t) AS t FROM raw GROUP BY ALL)""")
+    + "SELECT onto, iri, count(*) AS n_labels, string_agg(label, '|' ORDER BY place, t) AS labels FROM firsts GROUP BY onto, iri",
     "text_counts": _with(_BASE) + "SELECT onto, count(DISTINCT iri) AS n_classes, count(*) AS n_labels FROM labels GROUP BY onto",
     "token_index": _with(_BASE, _TOKENS) + "FROM posting",
     "token_index_ngrams": _with(_BASE) + """SELECT onto, substr(label, i, 3) AS token, iri, count(*) AS dtf
@@ -227,9 +226,10 @@ FROM labels, range(1, 200) t(i) WHERE onto = 'SRC' AND i <= greatest(length(labe
     "candidates_df_topk": _with(_BASE, _TOKENS, _candidates("df")) + "SELECT from_iri, to_iri, score, rank FROM cands WHERE side = 'SRC'",
     "string_match_pairs": _with(*_ALIGN) + "SELECT from_iri, to_iri, crank AS rank FROM edit WHERE same AND side = 'SRC'",
     "edit_sim_best": _with(*_ALIGN) + "SELECT src AS from_iri, tgt AS to_iri, score, rank FROM bests WHERE direction = 'SRC'",
-    "align_nbest": _with(*_ALIGN) + """, exact AS (SELECT from_iri, arg_min(to_iri, crank) AS to_iri FROM edit WHERE same AND side = 'SRC' GROUP BY from_iri),
-clamped AS (SELECT from_iri, to_iri, crank, CASE WHEN mean <= 0.01 THEN 0 ELSE mean END AS score FROM edit ANTI JOIN exact USING (from_iri) WHERE side = 'SRC')
-SELECT from_iri, to_iri, 1.0::DOUBLE AS score, 1 AS rank FROM exact
+    "align_nbest": _with(*_ALIGN, """
+exact AS (SELECT from_iri, arg_min(to_iri, crank) AS to_iri FROM edit WHERE same AND side = 'SRC' GROUP BY from_iri),
+clamped AS (SELECT from_iri, to_iri, crank, CASE WHEN mean <= 0.01 THEN 0 ELSE mean END AS score FROM edit ANTI JOIN exact USING (from_iri) WHERE side = 'SRC')""")
+    + """SELECT from_iri, to_iri, 1.0::DOUBLE AS score, 1 AS rank FROM exact
 UNION ALL (SELECT from_iri, to_iri, score, row_number() OVER (PARTITION BY from_iri ORDER BY score DESC, crank)::INT AS rank FROM clamped WHERE score > 0 QUALIFY rank <= 3)""",
     "align_bidirectional": _with(*_ALIGN) + "FROM bests",
     "align_combined": _with(*_ALIGN, _SETS) + "FROM sets",
@@ -280,8 +280,7 @@ WHERE EXISTS (FROM under p JOIN under q ON p.parent = q.parent AND p.top <> q.to
     "mapping_pipe_parse": _with(_BASE) + "SELECT src, tgt, '=' AS relation, 1.0::DOUBLE AS score FROM ref",
     "mapping_expand_iri": _with(_BASE) + "SELECT src, replace(src, 'obo:', 'http://purl.obolibrary.org/obo/') AS src_iri, tgt, replace(tgt, 'ordo:', 'http://www.orpha.net/ORDO/') AS tgt_iri FROM ref",
 }
-SQL["label_normalize"] = SQL["label_normalize"].replace("\n, o AS", ", o AS")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v.replace("\n, ", ",\n") for k, v in SQL.items()}
+    return dict(SQL)
