@@ -33,27 +33,30 @@ def _digit(data: Column, start: int, width: int) -> Column:
 def equal_groups(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: ``_doc_id, _sha``, the columns ``keep`` as ``_keep_i``, ``_row``
     (its row id), ``_best`` (struct of doc_id and row id of the row that stays), ``_n`` (rows
-    with the same text)."""
+    with the same text).
+
+    Texts are shuffled once, to meet the counts of the first digit; rows alone in their group are
+    done then, with their columns, and only the others are joined again.
+    """
+    kept = [f"_keep_{i}" for i in range(len(keep))]
     base = docs.select(
         F.monotonically_increasing_id().alias("_row"),
         F.col("doc_id").alias("_doc_id"),
-        *[F.col(f"`{c}`").alias(f"_keep_{i}") for i, c in enumerate(keep)],
-        F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_data"),
+        F.col("text").alias("_text"),
+        *[F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept) if c != "text"],
     )
-    kept = [f"_keep_{i}" for i in range(len(keep))]
-    keyed = base.withColumn("_len", F.octet_length("_data")).withColumn("_d", _digit(F.col("_data"), 0, FIRST))
+    data = F.coalesce(F.col("_text"), F.lit("")).cast("binary")
+    keyed = base.withColumn("_len", F.octet_length(data)).withColumn("_d", _digit(data, 0, FIRST))
     shared = keyed.groupBy("_len", "_d").agg(F.count("*").alias("_c")).where("_c > 1")
     shared = materialize(shared.withColumn("_group", F.monotonically_increasing_id()).select("_len", "_d", "_group"), "radix-groups")
-    # all rows once: those alone in their group lose their text, the others keep it for the next digits
-    rows = materialize(
-        keyed.join(shared.hint("merge"), ["_len", "_d"], "left").select(
-            "_row", "_doc_id", *kept, "_len", "_group",
-            F.sha2(F.col("_data"), 256).alias("_sha"),
-            F.when(F.col("_group").isNotNull() & (F.col("_len") > FIRST), F.col("_data")).alias("_data"),
-        ),
-        "radix-rows",
-    )
-    live = rows.where("_group is not null").select("_row", "_doc_id", "_len", "_group", "_data")
+    # all rows once; without columns to keep, only texts that further digits are taken of stay
+    further = F.col("_group").isNotNull() & (F.col("_len") > FIRST)
+    text = F.col("_text") if "text" in keep else F.when(further, F.col("_text"))
+    others = [k for c, k in zip(keep, kept) if c != "text"]
+    rows = keyed.join(shared.hint("merge"), ["_len", "_d"], "left").select("_row", "_doc_id", *others, "_len", "_group", F.sha2(data, 256).alias("_sha"), text.alias("_text"))
+    rows = materialize(rows, "radix-rows")
+    grouped = rows.where("_group is not null")
+    live = grouped.select("_row", "_doc_id", "_len", "_group", F.when(F.col("_len") > FIRST, data).alias("_data"))
     done = [live.where(F.col("_len") <= FIRST).select("_row", "_doc_id", "_group", F.lit(0).alias("_level"))]
     live, start, width, level = live.where(F.col("_len") > FIRST), FIRST, FIRST * FACTOR, 0
     while not live.isEmpty():
@@ -76,12 +79,12 @@ def equal_groups(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         members = members.unionByName(d)
     best = members.groupBy("_level", "_group").agg(F.max(F.struct("_doc_id", "_row")).alias("_best"), F.count("*").alias("_n"))
     best = materialize(best, "radix-best")
-    found = members.join(best, ["_level", "_group"]).select("_row", "_best", "_n")
-    alone = F.struct(F.col("_doc_id"), F.col("_row"))
-    return rows.join(found, "_row", "left").select(
-        "_row", "_doc_id", "_sha", *kept,
-        F.coalesce("_best", alone).alias("_best"), F.coalesce("_n", F.lit(1).cast("long")).alias("_n"),
-    )
+    found = materialize(members.join(best, ["_level", "_group"]).select("_row", "_best", "_n"), "radix-found")
+    alone, one = F.struct(F.col("_doc_id"), F.col("_row")), F.lit(1).cast("long")
+    columns = ["_row", "_doc_id", "_sha", *[F.col("_text" if c == "text" else k).alias(k) for c, k in zip(keep, kept)]]
+    single = rows.where("_group is null").select(*columns, alone.alias("_best"), one.alias("_n"))
+    joined = grouped.join(found, "_row", "left")
+    return single.unionByName(joined.select(*columns, F.coalesce("_best", alone).alias("_best"), F.coalesce("_n", one).alias("_n")))
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
