@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,33 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Paths written by ``materialize``, for callers that ask for them.
+_listeners: list[list[str]] = []
+
+
+@contextmanager
+def written_paths() -> Iterator[list[str]]:
+    """Lists the paths that ``materialize`` writes meanwhile."""
+    paths: list[str] = []
+    _listeners.append(paths)
+    try:
+        yield paths
+    finally:
+        _listeners.remove(paths)
+
+
+def discard(spark: SparkSession, paths: list[str], still_used: DataFrame) -> None:
+    """Delete tables of ``materialize`` that are of no more use, and take them off the list; those
+    that ``still_used`` reads from stay."""
+    used = still_used.inputFiles() if paths else []
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in list(paths):
+        if not any(path.rpartition("/")[2] in f for f in used):
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+            paths.remove(path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -29,13 +57,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for paths in _listeners:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Keep Arrow batches small: whole texts can be long, and a worker holds a batch at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Bytes of the rows that a Python worker gets at once (one row if it has more).
+BATCH_BYTES = 1 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small in bytes: whole texts can be long, and a worker holds a batch at a
+    time. All operators set the same bound, so plans of several may run in any order."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def word_count(text: Column) -> Column:

@@ -28,7 +28,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -164,7 +164,7 @@ def sample(docs: DataFrame) -> dict[str, list[bytes]]:
     # rows that are likely to be wanted, then the first of them up to the bound
     n = F.create_map(*[F.lit(x) for r in langs for x in (r["lang"], r["n"])])[F.col("lang")]
     hash_ = F.xxhash64(F.lit(SEED), "doc_id")
-    few = rows.where(F.pmod(hash_, F.lit(1 << 30)) * n < F.lit(1024 * (1 << 30)))
+    few = rows.where(F.pmod(hash_, F.lit(1 << 30)) / float(1 << 30) < 1024.0 / n)
     order = Window.partitionBy("lang").orderBy("hash_", "text")
     few = few.select("lang", "text", hash_.alias("hash_")).withColumn("nth", F.row_number().over(order)).where("nth <= 1024")
     before = F.coalesce(F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -184,11 +184,11 @@ def _predictor(docs: DataFrame, model: PPM):
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_CONTEXTS and MAX_LANGS
     kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
-    @F.pandas_udf(kind)
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(kind)
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            names, scores = shared.value.predict(texts.tolist())
-            yield pd.DataFrame({"lang_pred": names, "score": scores})
+            names, scores = shared.value.predict(texts.to_pylist())
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores)], names=["lang_pred", "score"])
 
     return predict
 

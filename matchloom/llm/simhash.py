@@ -24,7 +24,6 @@ from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,9 +57,9 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
-@F.pandas_udf(T.LongType())
-def _fingerprints(texts: pd.Series) -> pd.Series:
-    return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+@F.arrow_udf(T.LongType())
+def _fingerprints(texts: pa.Array) -> pa.Array:
+    return pa.array(np.array([fingerprint(t) for t in texts.to_pylist()], np.uint64).view(np.int64))
 
 
 class BKTree:

@@ -19,6 +19,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import public_tokenizers
@@ -33,8 +34,10 @@ from .wordtable import WordTable
 
 MARK = "▁"
 THREADS = 2
-#: Words whose ids a worker keeps.
-KEPT_WORDS = 500_000
+#: Parts in a batch of the library, which spreads it over its threads.
+BATCH = 2048
+#: Parts whose ids a worker keeps.
+KEPT_WORDS = 150_000
 #: Types of pieces in the model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -97,11 +100,12 @@ class Model:
         self.by_letters = self.by_word and not any(re.search(f"[{LATIN}][^{LATIN}]|[^{LATIN}{MARK}][{LATIN}]", p) for p in plain)
 
     def cuts(self) -> str | None:
-        """A pattern of the parts that are encoded apart; None if texts are encoded whole. No piece
-        goes over a cut, so neither merges nor the best path ever join its two sides."""
+        """A pattern of the parts that are encoded apart, with spaces for markers; None if texts are
+        encoded whole. No piece goes over a cut, so neither merges nor the best path ever join
+        its two sides."""
         if self.by_letters:
-            return f"{MARK}*[{LATIN}]+|{MARK}*[^{LATIN}{MARK}]+|{MARK}+"
-        return f"{MARK}*[^{MARK}]+|{MARK}+" if self.by_word else None
+            return f" *[{LATIN}]+| *[^{LATIN} ]+| +"
+        return " *[^ ]+| +" if self.by_word else None
 
     def merges(self) -> list[tuple[str, str]]:
         """All ways to join two pieces to a third, the highest score first."""
@@ -146,30 +150,44 @@ class Codec:
     def __init__(self, data: bytes) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
-        import sentencepiece
         from tokenizers import Tokenizer
 
         self.model = Model(data)
         self.words = Tokenizer(self.model.core())
         self.normalizer, self.decoder = self.model.normalizer(), self.model.decoder()
-        self.other = sentencepiece.SentencePieceProcessor(model_proto=data)
+        self.data = data
         # the library spreads a batch over its threads
-        self.table = WordTable(lambda words: [array("I", x.ids).tobytes() for x in self.words.encode_batch_fast(words, add_special_tokens=False)], KEPT_WORDS)
+        self.table = WordTable(self._encode_parts, KEPT_WORDS)
         # what each id stands for: a byte piece its byte, a control piece nothing, others their text
         self.bytes = [self._meaning(*p) for p in self.model.pieces]
         cuts = self.model.cuts()
         self.split = re.compile(cuts).findall if cuts else lambda t: [t] * bool(t)
 
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(parts), BATCH):
+            marked = [p.replace(" ", MARK) for p in parts[at : at + BATCH]]
+            out += [array("I", x.ids).tobytes() for x in self.words.encode_batch_fast(marked, add_special_tokens=False)]
+        return out
+
     def normalized(self, text: str) -> str:
+        """The text that is encoded, with spaces for markers (the two are one to the model)."""
         m = self.model
-        if m.charsmap or m.trim:
-            return self.normalizer.normalize_str(text) if text else ""
-        return (MARK * m.dummy_prefix + text.replace(" ", MARK)) if text else ""
+        if text and (m.charsmap or m.trim):
+            return self.normalizer.normalize_str(text).replace(MARK, " ")
+        return (" " * m.dummy_prefix + text.replace(MARK, " ")) if text else ""
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as unsigned 32-bit integers."""
         return [np.frombuffer(x, "<u4") for x in self.table.ids([self.split(self.normalized(t)) for t in texts])]
 
+    @cached_property
+    def other(self):
+        """The sentencepiece library's processor, loaded where parity is asked for."""
+        import sentencepiece
+
+        return sentencepiece.SentencePieceProcessor(model_proto=self.data)
+
     def parity(self, texts: list[str], ids: list[np.ndarray]) -> list[bool]:
         """Whether the sentencepiece library has the same ids."""
         return [array("I", a).tobytes() == b.tobytes() for a, b in zip(self.other.encode(texts, num_threads=THREADS), ids)]
@@ -214,17 +232,15 @@ def encode(docs: DataFrame, path: str | None = None, column: str = "ids") -> Dat
     """``docs`` with the ids of each text as array<int>; a column of that name is replaced."""
     bounded_batches(docs.sparkSession)
     data = docs.sparkSession.sparkContext.broadcast(_model_bytes(path))  # one model file
-    rest = [c for c in docs.columns if c != column]
-    schema = T.StructType([*[docs.schema[c] for c in rest], T.StructField(column, T.ArrayType(T.IntegerType(), False))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = codec(data.value).encode(_texts(batch.column(len(rest))))
-            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-            flat = np.concatenate([np.empty(0, "<u4"), *ids]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.ListArray.from_arrays(ends, flat)], names=[*rest, column])
+    @F.arrow_udf(T.ArrayType(T.IntegerType(), False))
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            got = codec(data.value).encode(_texts(texts))
+            flat = np.concatenate([np.empty(0, "<u4"), *got]).astype(np.int32)
+            yield pa.ListArray.from_arrays(np.cumsum([0, *map(len, got)], dtype=np.int32), flat)
 
-    return docs.select(*[F.col(f"`{c}`").alias(f"_keep_{i}") for i, c in enumerate(rest)], F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != column], ids("text").alias(column))
 
 
 def encode_report(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -238,7 +254,7 @@ def encode_report(docs: DataFrame, path: str | None = None) -> DataFrame:
             own, texts = codec(data.value), _texts(batch.column(1))
             ids = own.encode(texts)
             same = own.parity(texts, ids)
-            back = [a == own.normalized(b).replace(MARK, " ")[own.model.dummy_prefix * bool(b) :] for a, b in zip(own.decode(ids), texts)]
+            back = [a == own.normalized(b)[own.model.dummy_prefix * bool(b) :] for a, b in zip(own.decode(ids), texts)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()), pa.array(same, pa.bool_()), pa.array(back, pa.bool_())],
                 names=["doc_id", "n_tokens", "ids_crc32", "parity", "round_trip"],

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bounded_batches, materialize
 from .components import connected_components
 
 THRESHOLD = 0.95
@@ -179,7 +179,7 @@ def _route(n: int):
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
     """Per row of ``vectors`` (vec_id, embedding): vec_id, n_links, component_id, kept."""
-    spark = vectors.sparkSession
+    bounded_batches(vectors.sparkSession)
     e = F.col("_e")
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     rows = vectors.select(F.col("vec_id").alias("_id"), F.col("embedding").alias("_e"))
