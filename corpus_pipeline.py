@@ -16,29 +16,55 @@ Null or empty texts go in the first stage; an empty table stays empty through al
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.llm import langid, mixing, radix_dedup, simhash, spiece
-from matchloom.llm.common import materialize
+from matchloom.llm.common import discard, materialize, written_paths
+
+#: Tables that the stage before has left in the shared folder.
+_left: list[str] = []
+
+
+def _stage(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that first deletes what the stage before has left: by then that one's rows are
+    written and read again, unless docs still reads its tables."""
+
+    @wraps(stage)
+    def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard(spark, _left, docs)
+        with written_paths() as paths:
+            out = stage(spark, docs, sf_dir)
+        _left.extend(paths)
+        return out
+
+    return staged
 
 
+@_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_known(docs)
 
 
+@_stage
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return radix_dedup.dedup(docs)
 
 
+@_stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.dedup(docs)
 
 
+@_stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+@_stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = spiece.encode(docs.select("doc_id", "lang", "source", "text"))
     return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
