@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import global_rank, materialize, word_count
@@ -34,7 +34,7 @@ def _rates(sizes: DataFrame, weights: Sequence[int], max_repeat: int, seed: int)
     to all sizes. Each round takes the sources that stand above their limit at the current
     level as stopped and raises the level for the rest, from one aggregate row.
     """
-    per = sizes.groupBy("_source").agg(F.sum("_size").alias("_source_size"), F.count("*").alias("_docs"))
+    per = sizes.groupBy("_source").agg(F.sum("_size").alias("_source_size"), F.min("_rank").alias("_first"))
     per = per.withColumn("_last", F.col("_source").isNull()).withColumn("_key", F.coalesce("_source", F.lit("")))
     per = global_rank(per, ["_last", "_key"], "mix-sources", "_nth")
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("_nth") % len(weights)).cast("int") + 1)
@@ -58,11 +58,8 @@ def _rates(sizes: DataFrame, weights: Sequence[int], max_repeat: int, seed: int)
     # a multiple of 2**-20, so that adding it to a large prefix sum stays exact
     digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_last").cast("string"), "_key")), 1, 5)
     offset = F.conv(digits, 16, 10).cast("long") / F.lit(float(1 << 20))
-    # ranks within a source start where those of the sources before it end; a row per source
-    before = Window.orderBy("_nth").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = F.coalesce(F.sum("_docs").over(before), F.lit(0))
     return materialize(
-        per.select("_last", "_key", F.col("_source_size"), target.alias("_target"), rate.alias("_rate"), offset.alias("_offset"), firsts.alias("_first")),
+        per.select("_last", "_key", F.col("_source_size"), target.alias("_target"), rate.alias("_rate"), offset.alias("_offset"), "_first"),
         "mix-rates",
     )
 
@@ -78,7 +75,7 @@ def mix_plan(docs: DataFrame, keep: Sequence[str] = (), weights: Sequence[int] =
     )
     placed = sized.withColumn("_last", F.col("_source").isNull()).withColumn("_key", F.coalesce("_source", F.lit("")))
     ranked = global_rank(placed, ["_last", "_key", "_size", "_doc_id"], "mix-rank")
-    rates = _rates(ranked.select("_source", "_size"), weights, max_repeat, seed)
+    rates = _rates(ranked.select("_source", "_size", "_rank"), weights, max_repeat, seed)
     nth = F.col("_rank") - F.col("_first")
     crossed = F.floor(F.col("_offset") + F.col("_rate") * (nth + 1)) - F.floor(F.col("_offset") + F.col("_rate") * nth)
     return ranked.join(rates, ["_last", "_key"]).select(

@@ -58,3 +58,14 @@ def test_stages_return_the_columns_of_documents(spark):
 def test_empty_documents(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert cp.run(spark, str(tmp_path)).isEmpty()
+
+
+def test_stages_delete_only_what_is_not_used(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    exact = cp.exact(spark, docs, "")
+    n = exact.count()
+    left = list(cp._left)
+    near = cp.near(spark, exact, "")  # reads the tables of the stage before, which is not written
+    assert 0 < near.count() <= n and any(p in cp._left for p in left)
+    cp.mix(spark, docs, "")  # reads none of them
+    assert not any(p in cp._left for p in left)
