@@ -42,7 +42,7 @@ MAGIC = 0x31475052
 BLOCK_IDS = 1 << 20
 #: Rounds of a block, rules of a round and of a block, and the least count of a pair.
 ROUNDS, RULES_A_ROUND, RULES, LEAST = 4, 4096, 15_000, 8
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 1_500_000
 #: White space as the vocabulary's pattern has it (fixed values: Unicode White_Space).
 SPACE = r"\t-\r " + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Words with the space before them: cuts that the vocabulary's pattern makes in any text.
@@ -118,25 +118,27 @@ def encoder(data: bytes) -> Encoder:
     return _ENCODERS[key]
 
 
-def repair(ids: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Re-Pair of ids; ``last`` marks the last id of each document.
+def repair(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Re-Pair of ids; ``ends`` are the places of each document's last id.
 
-    Returns symbols, their ``last`` marks, and the left and right symbols of the rules; rule i
-    is the symbol base + i.
+    Returns symbols, their ``ends``, and the left and right symbols of the rules; rule i is the
+    symbol base + i.
     """
     seq, left, right = ids.astype(np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     # a pair in one number, as short as the symbols allow
     pack, shift = (np.uint32, 16) if base + RULES <= 1 << 16 else (np.uint64, 32)
     for _ in range(ROUNDS):
         room = min(RULES_A_ROUND, RULES - len(left))
-        wide = seq.astype(pack)
-        pairs = ((wide[:-1] << pack(shift)) | wide[1:])[~last[:-1]]
-        if room <= 0 or not len(pairs):
+        if room <= 0 or len(seq) < 2:
             break
+        wide = seq.astype(pack)
+        pairs = (wide[:-1] << pack(shift)) | wide[1:]
+        pairs[ends[:-1]] = np.iinfo(pack).max  # no pair goes over the end of a document
         pairs.sort()
-        edge = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
-        count, kinds = np.diff(np.append(edge, len(pairs))), pairs[edge]
-        often = np.flatnonzero(count >= LEAST)
+        edge = np.flatnonzero(pairs[1:] != pairs[:-1]) + 1
+        edge = np.concatenate([[0], edge, [len(pairs)]])
+        count, kinds = np.diff(edge), pairs[edge[:-1]]
+        often = np.flatnonzero((count >= LEAST) & (kinds != np.iinfo(pack).max))
         often = often[np.lexsort((kinds[often], -count[often]))[:room]]
         if not len(often):
             break
@@ -151,21 +153,20 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarray, np
         place = row.take(seq[:-1])
         place += col.take(seq[1:])
         rule = table.take(place)
-        hit = (rule > 0) & ~last[:-1]
+        rule[ends[:-1]] = 0
         # of overlapping occurrences each second one goes, from the left
-        at = np.flatnonzero(hit)
-        first = np.concatenate([[True], np.diff(at) > 1]) if len(at) else np.empty(0, bool)
-        begun = np.maximum.accumulate(np.where(first, at, 0)) if len(at) else at
-        at = at[(at - begun) % 2 == 0]
-        seq = seq.copy()
+        at = np.flatnonzero(rule)
+        if len(at):
+            first = np.concatenate([[True], np.diff(at) > 1])
+            begun = np.maximum.accumulate(np.where(first, at, 0))
+            at = at[(at - begun) % 2 == 0]
         seq[at] = rule[at]
-        last = last.copy()
-        last[at] = last[at + 1]
+        ends = ends - np.searchsorted(at + 1, ends, side="right")
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
-        seq, last = seq[stay], last[stay]
+        seq = seq[stay]
         left, right = np.concatenate([left, a]), np.concatenate([right, b])
-    return seq, last, left, right
+    return seq, ends, left, right
 
 
 def expand(seq: np.ndarray, left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
@@ -228,16 +229,14 @@ class Block:
         """``parts``: each document's ids, the end id included."""
         sizes = np.array([len(p) // 4 for p in parts], np.int64)
         ids = np.frombuffer(b"".join(parts), "<u4")
-        last = np.zeros(len(ids), bool)
-        last[np.cumsum(sizes) - 1] = True
-        seq, last, left, right = repair(ids, last, base)
+        seq, ends, left, right = repair(ids, np.cumsum(sizes) - 1, base)
         wide = base + len(left) > 1 << 16
         head = np.array([MAGIC, base, len(left), len(seq), len(parts), len(ids), 4 if wide else 2, 0], "<u4")
         arrays = [
             head, left.astype("<u4"), right.astype("<u4"), expansion_lengths(left, right, base).astype("<u4"),
             seq.astype("<u4" if wide else "<u2"),
             np.array([d or 0 for d in doc_ids], "<i8"), np.array([d is None for d in doc_ids], "u1"),
-            np.concatenate([[0], np.flatnonzero(last) + 1]).astype("<u4"), np.concatenate([[0], np.cumsum(sizes)]).astype("<u4"),
+            np.concatenate([[0], ends + 1]).astype("<u4"), np.concatenate([[0], np.cumsum(sizes)]).astype("<u4"),
         ]
         return b"".join(a.tobytes() for a in arrays)
 
