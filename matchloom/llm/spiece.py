@@ -37,7 +37,7 @@ THREADS = 2
 #: Parts in a batch of the library, which spreads it over its threads.
 BATCH = 2048
 #: Parts whose ids a worker keeps.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 300_000
 #: Types of pieces in the model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
