@@ -15,7 +15,7 @@ or uint32), doc_id (int64), null flags of doc_id (uint8), first symbol and first
 document (uint32, one more entry at the end). Shards and blocks ascend with doc_id.
 
 Defined results: null text counts as empty (its one id is the end id); null doc_id comes first;
-rows that repeat a doc_id are documents of their own, in a fixed order by a hash of the text; empty tables
+rows that repeat a doc_id are documents of their own, by a hash of the text within a shard; empty tables
 give no files' rows; further columns are ignored.
 """
 
@@ -269,8 +269,9 @@ def write_blocks(docs: DataFrame, path: str | None = None, name: str = "token-id
         if held:
             yield flush()
 
-    dealt = docs.select("doc_id", "text").withColumn("_tie", F.xxhash64("text"))
-    dealt = dealt.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").select("doc_id", "text")
+    # the row id parts rows that repeat a doc_id, without a look at the texts for the ranges' bounds
+    dealt = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row")).repartitionByRange("doc_id", "_row")
+    dealt = dealt.sortWithinPartitions("doc_id", F.xxhash64("text")).select("doc_id", "text")
     return materialize(dealt.mapInArrow(run, "shard int, block int, n_ids long, payload binary"), name)
 
 
