@@ -5,17 +5,15 @@ The corpus says how strongly a term reveals one: with n documents, of which n_e
 n_t the term and n_et the entity with the term near it, the entity's information content is
 IC = log2(n / n_e) and the pointwise mutual information is PMI = log2(n * n_et / (n_e * n_t)).
 A term discloses the entity if PMI >= ``DISCLOSURE`` * IC and entity and term meet in
-``SUPPORT`` or more different texts of ``NEAR`` characters before, and as many after it (copies of
-a passage are one, and near copies seldom differ on both sides). Every occurrence of such a term
+``SUPPORT`` or more different windows, the texts of ``NEAR`` characters before and after it (copies
+of a passage are one; windows that differ on either side are two). Every occurrence of such a term
 as a whole word, in any document, is a span of kind ``term``; ``sanitize`` generalises a span to
 its kind's label, or removes it.
 
-All in DataFrame functions. Entities are counted first; only those with enough windows have
-their terms counted, and the words of the corpus are summed per task before they are shuffled
-and joined. Counts cover all documents.
+All in DataFrame functions. Every entity has its terms counted, and the words of the corpus are
+summed per task before they are shuffled and joined. Counts cover all documents.
 
-Terms are runs of ``TERM`` letters and digits in lower case; those with ``LEAST_TERM`` or more
-characters count, as short words say little.
+Terms are runs of ``TERM`` letters and digits in lower case, of any length.
 
 Defined results: null text counts as empty; no spans give 0, the SHA-256 of the empty string, and
 an empty string; a term's occurrence that touches a base span is not added; rows that repeat
@@ -39,7 +37,6 @@ IP = _RUN.format("0-9") + r"\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = rf"[0-9{JOINT}]{{14,}}"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"[\p{L}\p{N}]+"
-LEAST_TERM = 5
 NEAR = 60
 SUPPORT = 3
 DISCLOSURE = 0.95
@@ -92,34 +89,29 @@ def disclosing_terms(rows: DataFrame) -> DataFrame:
         F.lower(F.substring("_text", F.greatest(F.col("x.s") - NEAR, F.lit(0)) + 1, F.least(F.col("x.s"), F.lit(NEAR)))).alias("left"),
         F.lower(F.substring("_text", F.col("x.e") + 1, F.lit(NEAR))).alias("right"),
     )
-    different = F.least(F.countDistinct("l"), F.countDistinct("r")).alias("windows")
-    entities = entities.select("_row", "entity", F.concat_ws(" ", "left", "right").alias("near"), F.xxhash64("left").alias("l"), F.xxhash64("right").alias("r"))
-    near = materialize(entities, "pii-near")
-    often = near.groupBy("entity").agg(different)
-    often = materialize(often.where(F.col("windows") >= SUPPORT).select("entity"), "pii-entities")
-    none = rows.sparkSession.createDataFrame([], "term string")
-    if often.isEmpty():
-        return none
-    pairs = near.join(often, "entity").select("_row", "entity", "l", "r", F.explode(F.array_distinct(F.regexp_extract_all("near", F.lit(TERM), F.lit(0)))).alias("term"))
-    pairs = materialize(pairs.where(F.length("term") >= LEAST_TERM), "pii-pairs")
-    windows = pairs.groupBy("entity", "term").agg(different).where(F.col("windows") >= SUPPORT)
+    # a window is both sides together: one that differs on either side is another text
+    window = F.xxhash64("left", "right").alias("window")
+    near = materialize(entities.select("_row", "entity", F.concat_ws(" ", "left", "right").alias("near"), window), "pii-near")
+    if near.isEmpty():
+        return rows.sparkSession.createDataFrame([], "term string")
+    pairs = near.select("_row", "entity", "window", F.explode(F.array_distinct(F.regexp_extract_all("near", F.lit(TERM), F.lit(0)))).alias("term"))
+    pairs = materialize(pairs, "pii-pairs")
+    windows = pairs.groupBy("entity", "term").agg(F.countDistinct("window").alias("windows"))
     both = pairs.groupBy("entity", "term", "_row").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("n_et"))
     met = materialize(both.join(windows, ["entity", "term"]), "pii-met")
-    if met.isEmpty():
-        return none
     n = rows.count()
-    held = near.join(often, "entity").groupBy("entity", "_row").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("n_e"))
+    held = near.groupBy("entity", "_row").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("n_e"))
     words = rows.select(F.explode(_words(F.col("_text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     told = met.join(held, "entity").join(words.join(met.select("term").distinct(), "term"), "term")
     ic = F.log2(F.lit(float(n)) / F.col("n_e"))
     pmi = F.log2(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col("n_t").cast("double")))
     # an entity in every document has no information to disclose
-    return materialize(told.where((ic > 0) & (pmi >= ic * DISCLOSURE)).select("term").distinct(), "pii-terms")
+    return materialize(told.where((F.col("windows") >= SUPPORT) & (ic > 0) & (pmi >= ic * DISCLOSURE)).select("term").distinct(), "pii-terms")
 
 
 def _words(text: Column) -> Column:
     """The distinct terms of a text."""
-    return F.filter(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))), lambda t: F.length(t) >= LEAST_TERM)
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
 def scan(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -140,6 +140,17 @@ def test_terms_that_reveal_an_entity(spark):
     assert all(got[i] == "" for i, _ in CLEAN)
 
 
+def test_entities_at_the_edge_of_a_text_and_short_terms_count(spark):
+    first = [(i, f"jane.doe@secret.org met kim {x}") for i, x in enumerate(("alpha", "beta1", "gamma", "omega"))]
+    last = [(10 + i, f"{x} zorblatt 10.20.30.40") for i, x in enumerate(("delta", "kappa", "sigma", "theta"))]
+    met = [(2000 + i, f"they met number {i}") for i in range(200)]
+    docs = spark.createDataFrame([*first, *last, *met, *CLEAN, (9500, "Kim saw Zorblatt")], SCHEMA)
+    got = {r["doc_id"]: r["spans"] for r in pii.scan_report(docs).collect()}
+    assert got[9500] == "term:0:3,term:8:16"
+    assert got[0] == "email:0:19,term:24:27" and got[10] == "term:6:14,ip:15:26"
+    assert all(got[i] == "" for i, _ in met)
+
+
 def test_copies_of_one_passage_are_no_evidence(spark):
     docs = spark.createDataFrame([(i, "zorblatt wrote to jane.doe@secret.org") for i in range(50)] + CLEAN, SCHEMA)
     assert {r["spans"] for r in pii.scan_report(docs).collect()} == {"", "email:18:37"}
