@@ -2,11 +2,13 @@
 
 The base kinds (assign, access, hex) are patterns. The kind ``entropy`` adds candidates: runs of
 ``CANDIDATE`` characters with letters and digits in which some window of ``WINDOW`` characters,
-all of one class (hexadecimal or base-64), has an entropy of at least the class's threshold. A
+all of one class (hexadecimal or letters and digits of one case, or base-64), has an entropy of at
+least the class's threshold. A
 window's entropy is log2(W) - S / W where S sums c log2 c over its counts; sliding it by one
 character changes one count up and one down, so S is kept by increments. A span goes from the
-start of the first such window to the end of the last. Candidates on the allow list (identifiers
-that look random but are public) and those that touch a base span are not added.
+start of the first such window to the end of the last. Not added are candidates that touch a base
+span or are as a whole on the allow list (identifiers that look random but are public), and spans
+that hold one of its words; a word in the rest of the run allows nothing.
 
 All in DataFrame functions; a document is looked at alone, so nothing is shuffled.
 
@@ -31,15 +33,17 @@ LEAST_VALUE = 8
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 #: Class of characters and least entropy in bits of a window that is all of that class.
-CLASSES = (("[0-9a-f]", 3.0), ("[A-Za-z0-9+/_=-]", 3.9))
-#: Public identifiers: UUIDs, runs of one or two characters, counted-up alphabets, examples.
-ALLOWED = (
+CLASSES = (("[0-9a-f]", 3.0), ("[0-9A-F]", 3.0), ("[0-9a-z]", 3.5), ("[0-9A-Z]", 3.5), ("[A-Za-z0-9+/_=-]", 3.9))
+#: Public identifiers, as whole runs: UUIDs, runs of one or two characters, words with a number.
+ALLOWED_RUNS = (
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
     r"^(.)\1+$",
-    r"(?i)abcdefghij|0123456789|qwertyuiop|example|placeholder|xxxxxxxx",
     r"^[A-Za-z_/-]+[0-9]{1,4}$",
     r"^[0-9_/=+-]+$",
 )
+#: Counted-up alphabets and examples, in a span.
+ALLOWED_WORDS = r"(?i)abcdefghij|0123456789|qwertyuiop|example|placeholder|xxxxxxxx"
+ALLOWED = (*ALLOWED_RUNS, ALLOWED_WORDS)
 
 
 def _entropy_spans(text: Column, base: Column) -> Column:
@@ -47,7 +51,7 @@ def _entropy_spans(text: Column, base: Column) -> Column:
 
     def candidate(x: Column) -> Column:
         ok = x["m"].rlike("[0-9]") & x["m"].rlike("[A-Za-z]") & ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-        for pattern in ALLOWED:
+        for pattern in ALLOWED_RUNS:
             ok = ok & ~x["m"].rlike(pattern)
         return ok
 
@@ -88,7 +92,8 @@ def _entropy_spans(text: Column, base: Column) -> Column:
         return F.transform(F.array(seen), lambda a: F.struct((x["s"] + a["first"]).alias("s"), (x["s"] + a["last"]).alias("e"), a["first"].alias("f")))[0]
 
     found = F.filter(F.transform(F.filter(runs, candidate), windows), lambda w: w["f"] >= 0)
-    return F.transform(found, lambda w: F.struct(w["s"].alias("s"), w["e"].alias("e"), F.substring(text, w["s"] + 1, w["e"] - w["s"]).alias("m")))
+    spans = F.transform(found, lambda w: F.struct(w["s"].alias("s"), w["e"].alias("e"), F.substring(text, w["s"] + 1, w["e"] - w["s"]).alias("m")))
+    return F.filter(spans, lambda x: ~x["m"].rlike(ALLOWED_WORDS))
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -82,6 +82,20 @@ def test_allow_list(spark):
     assert {r["doc_id"]: r["spans"] for r in secretscan.scan_report(docs).collect()} == {0: "", 1: "", 2: "", 3: "entropy:0:20"}
 
 
+def test_keys_of_one_case_and_words_beside_a_key(spark):
+    key = "k9aK2mQ8zR4pL7wX3vB6"
+    found = {0: "9C4F1E07B2D85A36E1F094C7D2B8A563", 1: "7hq2mx9vk4tz1rw8cy3n", 2: "7HQ2MX9VK4TZ1RW8CY3N"}
+    beside = {3: "example_" + "a" * 30 + key, 4: key + "_" + "0" * 20 + "placeholder"}
+    allowed = {5: key[:10] + "EXAMPLE" + key[10:], 6: "0123456789ABCDEF01234567"}
+    docs = spark.createDataFrame([*found.items(), *beside.items(), *allowed.items()], SCHEMA)
+    got = {r["doc_id"]: r["spans"] for r in secretscan.scan_report(docs).collect()}
+    assert [got[i] for i in found] == [f"entropy:0:{len(t)}" for t in found.values()]
+    for i, t in beside.items():
+        _, s, e = got[i].split(":")
+        assert int(s) <= t.index(key) and t.index(key) + 20 <= int(e) and (int(s), int(e)) != (0, len(t))
+    assert got[5] == got[6] == ""
+
+
 def card(m):
     d = re.sub("[^0-9]", "", m)
     twice = [int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(d[::-1])]
