@@ -11,8 +11,9 @@ once, and texts are scored by table look-up, in exact sums.
 Texts are lower-cased, and runs of ASCII characters other than letters become one space.
 
 Training reads a bounded sample: per language whole texts, in the order of a hash of doc_id,
-up to about ``TRAIN_BYTES`` bytes, of the ``MAX_LANGS`` most frequent languages; contexts seen
-once are left to shorter ones and at most ``MAX_CONTEXTS`` are kept, the most frequent first.
+up to about ``TRAIN_BYTES`` bytes, of every language; contexts seen once are left to shorter ones
+and at most ``MAX_CONTEXTS`` are kept, the most frequent first. More than ``SHARD_LANGS`` languages
+are dealt by name to models of that many, which share the alphabet and the number of contexts.
 Only text and lang of rows that ``held_out`` does not mark are used; no prediction reads lang,
 source or doc_id.
 
@@ -37,12 +38,13 @@ from .common import bounded_batches
 
 ORDER = 4
 TRAIN_BYTES = 300_000
-MAX_LANGS = 32
+SHARD_LANGS = 32
 MAX_CONTEXTS = 1 << 16
 EVIDENCE = 64
 SEED = 11
 UNKNOWN = "und"
-#: A text whose best language has less than this score is no better than a guess.
+#: A text whose best language has less than this score is dropped by ``keep_known``, unless that
+#: language's code is shorter than the background's (close languages share the score).
 LEAST_SCORE = 0.3
 _PLAIN = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -67,13 +69,13 @@ class PPM:
     length of a symbol after a context under each language. Context 0 is the empty one.
     """
 
-    def __init__(self, texts: dict[str, list[bytes]], order: int = ORDER, most: int = MAX_CONTEXTS) -> None:
+    def __init__(self, texts: dict[str, list[bytes]], order: int = ORDER, most: int = MAX_CONTEXTS, seen: np.ndarray | None = None) -> None:
         self.langs, self.order = sorted(texts), order
         data = np.frombuffer(b"".join(b"".join(texts[n]) for n in self.langs), np.uint8)
         lang = np.repeat(np.arange(len(self.langs)), [sum(map(len, texts[n])) for n in self.langs])
         sizes = np.array([len(t) for n in self.langs for t in texts[n]], np.int64)
         place = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        seen = np.unique(data)
+        seen = np.unique(data) if seen is None else seen
         self.symbol = np.zeros(256, np.int32)  # 0: a byte never seen
         self.symbol[seen] = np.arange(1, len(seen) + 1)
         self.size = size = len(seen) + 1
@@ -136,8 +138,25 @@ class PPM:
         cost = self.bits.take(at * size + sym, axis=0)
         return np.add.reduceat(cost, starts, axis=0, dtype=np.float64)
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+
+class Model:
+    """The languages' code lengths, in models of up to ``SHARD_LANGS`` languages, and a background:
+    the share of each byte in all training texts, without contexts; one never seen costs as under
+    equal shares, which is less than any language takes."""
+
+    def __init__(self, texts: dict[str, list[bytes]]) -> None:
+        self.langs = sorted(texts)
+        counts = np.bincount(np.frombuffer(b"".join(b"".join(texts[n]) for n in self.langs), np.uint8), minlength=256)
+        seen = np.flatnonzero(counts)
+        self.background = np.full(256, np.log2(len(seen) + 1))
+        self.background[seen] = -np.log2(counts[seen] / max(1, counts.sum()))
+        names = [self.langs[at : at + SHARD_LANGS] for at in range(0, len(self.langs), SHARD_LANGS)]
+        most = max(1, MAX_CONTEXTS // max(1, len(names)))
+        self.shards = [PPM({n: texts[n] for n in some}, most=most, seen=seen) for some in names]
+
+    def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Per text its language, the score, and whether the language's code is shorter than the background's."""
+        names, scores, shorter = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
         lines = [_bytes(t) for t in texts]
         todo = [i for i, x in enumerate(lines) if x and self.langs]
         while todo:  # about 256 KB at a time, or one text
@@ -146,25 +165,30 @@ class PPM:
                 some.append(todo.pop())
                 total += len(lines[some[-1]])
             n = np.array([len(lines[i]) for i in some])
-            bits = self.lengths([lines[i] for i in some])
+            bits = np.hstack([shard.lengths([lines[i] for i in some]) for shard in self.shards])
+            plain = self.background.take(np.frombuffer(b"".join(lines[i] for i in some), np.uint8))
+            shorter[some] = bits.min(axis=1) < np.add.reduceat(plain, np.cumsum(n) - n)
             bits = (bits - bits.min(axis=1, keepdims=True)) * np.minimum(1.0, EVIDENCE / n)[:, None]
             best = bits.argmin(axis=1)
             scores[some] = 1.0 / np.exp2(-bits).sum(axis=1)
             for i, b in zip(some, best):
                 names[i] = self.langs[b]
-        return names, scores
+        return names, scores, shorter
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        return self.judge(texts)[:2]
 
 
 def sample(docs: DataFrame) -> dict[str, list[bytes]]:
     """The training texts of each language (see the module's bounds)."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    langs = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
+    langs = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row per language
     if not langs:
         return {}
     # rows that are likely to be wanted, then the first of them up to the bound
-    n = F.create_map(*[F.lit(x) for r in langs for x in (r["lang"], r["n"])])[F.col("lang")]
+    sizes = docs.sparkSession.createDataFrame(langs, "lang string, n long")
     hash_ = F.xxhash64(F.lit(SEED), "doc_id")
-    few = rows.where(F.pmod(hash_, F.lit(1 << 30)) / float(1 << 30) < 1024.0 / n)
+    few = rows.join(F.broadcast(sizes), "lang").where(F.pmod(hash_, F.lit(1 << 30)) / float(1 << 30) < 1024.0 / F.col("n"))
     order = Window.partitionBy("lang").orderBy("hash_", "text")
     few = few.select("lang", "text", hash_.alias("hash_")).withColumn("nth", F.row_number().over(order)).where("nth <= 1024")
     before = F.coalesce(F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -175,34 +199,35 @@ def sample(docs: DataFrame) -> dict[str, list[bytes]]:
     return out
 
 
-def train(docs: DataFrame) -> PPM:
-    return PPM(sample(docs))
+def train(docs: DataFrame) -> Model:
+    return Model(sample(docs))
 
 
-def _predictor(docs: DataFrame, model: PPM):
+def _predictor(docs: DataFrame, model: Model):
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_CONTEXTS and MAX_LANGS
-    kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_CONTEXTS and SHARD_LANGS
+    kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("shorter", T.BooleanType())])
 
     @F.arrow_udf(kind)
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            names, scores = shared.value.predict(texts.to_pylist())
-            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores)], names=["lang_pred", "score"])
+            names, scores, shorter = shared.value.judge(texts.to_pylist())
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores), pa.array(shorter)], names=["lang_pred", "score", "shorter"])
 
     return predict
 
 
-def predict_report(docs: DataFrame, model: PPM | None = None) -> DataFrame:
+def predict_report(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score."""
     predict = _predictor(docs, model or train(docs))
     got = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), predict("text").alias("_p"))
     return got.select("doc_id", "held_out", "_p.lang_pred", "_p.score")
 
 
-def keep_known(docs: DataFrame, model: PPM | None = None) -> DataFrame:
-    """The documents that have a language: not ``und``, and a score of ``LEAST_SCORE`` or more."""
+def keep_known(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """The documents that have a language: not ``und``, and a score of ``LEAST_SCORE`` or more or a
+    code that is shorter than the background's."""
     predict = _predictor(docs, model or train(docs))
     got = docs.select(*[F.col(f"`{c}`").alias(f"_keep_{i}") for i, c in enumerate(docs.columns)], predict("text").alias("_p"))
-    kept = got.where((F.col("_p.lang_pred") != UNKNOWN) & (F.col("_p.score") >= LEAST_SCORE))
+    kept = got.where((F.col("_p.lang_pred") != UNKNOWN) & ((F.col("_p.score") >= LEAST_SCORE) | F.col("_p.shorter")))
     return kept.select(*[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(docs.columns)])

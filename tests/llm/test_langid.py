@@ -108,3 +108,19 @@ def test_keep_known_keeps_clean_documents_and_columns(spark):
     assert out.columns == docs.columns and out.count() >= 0.999 * docs.count()
     junk = docs.limit(5).withColumn("text", F.lit("12345 !!!"))
     assert langid.keep_known(docs.where("doc_id > 100").unionByName(junk)).where("text = '12345 !!!'").isEmpty()
+
+
+def test_every_language_is_learned(spark):
+    words = {f"l{k:02d}": " ".join(f"{a}{chr(97 + k % 26)}{b}{chr(97 + k // 26)}" for a in "bdkm" for b in "aeou") for k in range(40)}
+    docs = spark.createDataFrame([(i, t, n) for n, t in words.items() for i in (1, 3)], "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert model.langs == sorted(words) and len(model.shards) == 2
+    assert model.predict([words[n] for n in words])[0] == list(words)
+
+
+def test_close_languages_keep_their_documents(spark):
+    text = "the of and that with which were from the of and that"
+    docs = spark.createDataFrame([(1, text, n) for n in ("en", "en-GB", "en-US", "eng")] * 3, "doc_id long, text string, lang string")
+    assert langid.predict_report(docs).first()["score"] < langid.LEAST_SCORE
+    assert langid.keep_known(docs).count() == 12
+    assert langid.keep_known(docs.withColumn("text", F.lit("日本語")), langid.train(docs)).isEmpty()
