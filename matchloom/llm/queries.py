@@ -22,7 +22,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenout.write_and_read(_table(spark, sf_dir, "documents"))
+    return tokenout.write_and_read(_table(spark, sf_dir, "documents"), added=True)
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

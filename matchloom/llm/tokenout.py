@@ -66,17 +66,22 @@ class Encoder:
 
     A byte-level vocabulary without normaliser and prefix space never joins over the cuts that its
     pattern makes, so pieces between cuts are encoded once each and kept in a bounded table; any
-    other vocabulary gets whole texts. ``array("I")`` is little-endian on Spark's platforms.
+    other vocabulary gets whole texts. With ``added`` the added tokens of the file have their own
+    ids, as the library has it: texts that hold one are encoded whole. Without, special ones are
+    text like any other. ``array("I")`` is little-endian on Spark's platforms.
     """
 
-    def __init__(self, data: bytes) -> None:
+    def __init__(self, data: bytes, added: bool = False) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(data.decode())
-        self.tokenizer.encode_special_tokens = True
         pre = self.tokenizer.pre_tokenizer
         plain = isinstance(pre, pre_tokenizers.ByteLevel) and not pre.add_prefix_space and pre.use_regex and self.tokenizer.normalizer is None
+        self.tokenizer.encode_special_tokens = plain or not added
+        self.whole, held = None, [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if plain and added and held:
+            self.whole, self.held = Tokenizer.from_str(data.decode()), re.compile("|".join(map(re.escape, held)))
         self.split = _pieces if plain else lambda t: [t] * bool(t)
         self.table = WordTable(self._joined if plain else self._apart, KEPT_WORDS)
         # the ids that start with a space
@@ -104,17 +109,23 @@ class Encoder:
         return [got[w] for w in words]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return self.table.ids([self.split(t) for t in texts])
+        odd = [i for i, t in enumerate(texts) if self.held.search(t)] if self.whole else []
+        if not odd:
+            return self.table.ids([self.split(t) for t in texts])
+        out = self.table.ids([[] if self.held.search(t) else self.split(t) for t in texts])
+        for i, x in zip(odd, self.whole.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False)):
+            out[i] = array("I", x.ids).tobytes()
+        return out
 
 
-_ENCODERS: dict[int, Encoder] = {}
+_ENCODERS: dict[tuple[int, bool], Encoder] = {}
 
 
-def encoder(data: bytes) -> Encoder:
+def encoder(data: bytes, added: bool = False) -> Encoder:
     """This process's encoder of a vocabulary file."""
-    key = zlib.crc32(data)
+    key = zlib.crc32(data), added
     if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(data)
+        _ENCODERS[key] = Encoder(data, added)
     return _ENCODERS[key]
 
 
@@ -241,7 +252,7 @@ class Block:
         return b"".join(a.tobytes() for a in arrays)
 
 
-def write_blocks(docs: DataFrame, path: str | None = None, name: str = "token-ids") -> DataFrame:
+def write_blocks(docs: DataFrame, path: str | None = None, name: str = "token-ids", added: bool = False) -> DataFrame:
     """Encode and compress ``docs`` to files in the shared folder; the files' rows."""
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -254,13 +265,13 @@ def write_blocks(docs: DataFrame, path: str | None = None, name: str = "token-id
 
         def flush() -> pa.RecordBatch:
             nonlocal block, held, names, size
-            payload = Block.payload(held, names, encoder(data.value).tokenizer.get_vocab_size())
+            payload = Block.payload(held, names, encoder(data.value, added).tokenizer.get_vocab_size())
             out = pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int32()), "n_ids": pa.array([size], pa.int64()), "payload": pa.array([payload], pa.binary())})
             block, held, names, size = block + 1, [], [], 0
             return out
 
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(data.value).encode([t or "" for t in batch.column(1).to_pylist()])):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(data.value, added).encode([t or "" for t in batch.column(1).to_pylist()])):
                 held.append(ids + end)
                 names.append(doc_id)
                 size += len(ids) // 4 + 1
@@ -305,5 +316,5 @@ def read_blocks(blocks: DataFrame) -> DataFrame:
     return rows.join(starts, ["shard", "block"]).select("doc_id", (F.col("_start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def write_and_read(docs: DataFrame, path: str | None = None) -> DataFrame:
-    return read_blocks(write_blocks(docs, path))
+def write_and_read(docs: DataFrame, path: str | None = None, added: bool = False) -> DataFrame:
+    return read_blocks(write_blocks(docs, path, added=added))

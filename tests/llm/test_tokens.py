@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
 from matchloom.llm import spiece, tokenout
+from matchloom.llm.queries import queries
 from matchloom.llm.wordtable import WordTable
 
 ODD = [
@@ -101,6 +102,15 @@ def test_files(spark, plain, monkeypatch, block):
     assert tokenout.write_and_read(frame.limit(0)).isEmpty()
 
 
+def test_the_query_encodes_as_the_unmodified_tokenizer(spark, tmp_path):
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ODD + ["end <|endoftext|> next", "<|endoftext|>", "a<|endoftext|><|endoftext|>b"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in queries()["op3_token_ids"](spark, str(tmp_path)).collect()}
+    want = [np.array([*own.encode(t, add_special_tokens=False).ids, 0], "<u4") for t in texts]
+    assert got == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(want)}
+
+
 def test_sentencepiece_parity():
     c = codec()
     ids = c.encode(ODD)
