@@ -118,6 +118,12 @@ def test_sentencepiece_parity():
     assert c.decode(ids) == c.decode_by_library(ids) == [t.replace("▁", " ") for t in ODD]
 
 
+def test_ids_that_differ_from_the_library_do_not_leave(monkeypatch):
+    c = codec()
+    monkeypatch.setattr(c, "encode", lambda texts: [np.array([1, 2], "<u4") for _ in texts])
+    assert [x.tolist() for x in c.checked(ODD)] == c.other.encode(ODD)
+
+
 @settings(max_examples=200, deadline=None)
 @given(TEXT)
 def test_any_text_has_parity(text):
