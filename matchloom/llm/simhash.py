@@ -8,14 +8,16 @@ follows only the edges within the radius. The trees are routed to, not broadcast
 together grow with the corpus. A shard emits one link per fingerprint to the least one that it
 is tied to, not all pairs.
 
-A shard of more than ``SHARD_LIMIT`` distinct fingerprints is not searched by tree: its
-fingerprints meet at the keys one bit flip away from them. Two are within two flips exactly if
-they share such a key, and no key has more than 65 of them, so this loses nothing and stays
-linear whatever the shard's size.
-
-Defined results: null or empty text has fingerprint 0 and links like any other; ties need no
-rule, the least doc_id names a component; rows that repeat a doc_id are rows of their own;
-further columns are kept by ``dedup`` and ignored by ``dedup_report``.
+A shard of more than ``TREE`` distinct fingerprints is split by further bits: those it does not fix
+yet are cut into RADIUS + 1 blocks again, and its fingerprints go to the smaller shards of these
+blocks' values, whose trees find every link by the same argument. A shard that has fixed all but
+log2(TREE) bits holds no more than ``TREE``, so the splitting ends, after six levels at most.
+
+Defined results: null or empty text has fingerprint 0 and links like any other; whole texts are
+hashed, in runs of 65,536 shingles, so a very long one costs time in proportion; ties need no
+rule, the least doc_id names a component; rows that repeat a doc_id are rows of their own; a null
+doc_id names a component only if it holds nothing else; empty tables give empty results; further
+columns are kept by ``dedup`` and ignored by ``dedup_report``.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
@@ -34,10 +36,9 @@ from .common import bounded_batches, materialize
 from .components import connected_components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
-SHARD_LIMIT = 1024
+#: The most fingerprints that a tree holds.
+TREE = 512
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-#: First bit and width of each block.
-BLOCKS = ((0, 21), (21, 21), (42, 22))
 
 
 def fingerprint(text: str | None) -> int:
@@ -119,54 +120,62 @@ def tree_links(values: Iterable[int], radius: int = RADIUS) -> list[tuple[int, i
 
 
 def _search_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches sorted by shard; a shard may go on in the next batch."""
-    held = (np.empty(0, np.int64), np.empty(0, np.uint64))
+    """Batches (mask, value, fp) sorted by shard; a shard may go on in the next batch."""
+    held = np.empty((0, 3), np.int64)
 
-    def links(shard: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
-        cuts = np.flatnonzero(np.diff(shard)) + 1
-        edges = np.concatenate([[0], cuts, [len(shard)]])
+    def links(rows: np.ndarray, edges: np.ndarray) -> pa.RecordBatch:
         out: list[tuple[int, int]] = []
-        for k in np.flatnonzero(np.diff(edges) > 1):
-            out += tree_links(value[edges[k] : edges[k + 1]].tolist())
+        for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            if y - x > 1:
+                out += tree_links(rows[x:y, 2].view(np.uint64).tolist())
         both = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
     for batch in batches:
-        shard = np.concatenate([held[0], batch.column(0).to_numpy(zero_copy_only=False)])
-        value = np.concatenate([held[1], batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
-        if not len(shard):
+        rows = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)])
+        if not len(rows):
             continue
-        last = int(np.searchsorted(shard, shard[-1]))  # the last shard may not be over
-        if last:
-            yield links(shard[:last], value[:last])
-        held = shard[last:], value[last:]
-    if len(held[0]):
-        yield links(*held)
+        edges = np.concatenate([[0], np.flatnonzero((np.diff(rows[:, :2], axis=0) != 0).any(axis=1)) + 1])
+        yield links(rows, edges)
+        held = rows[edges[-1] :].copy()  # the last shard may not be over
+    if len(held):
+        yield links(held, np.array([0, len(held)]))
 
 
-def _flip_links(prints: DataFrame) -> DataFrame:
-    """Links of the distinct fingerprints ``fp`` over the keys at most one flip away."""
-    flips = F.array(*[F.lit(0).cast("long"), *[F.shiftleft(F.lit(1).cast("long"), j) for j in range(64)]])
-    keys = prints.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("key"))
-    met = keys.groupBy("key").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)  # 65 at most
-    return met.select(F.array_min("fps").alias("b"), F.explode("fps").alias("a")).where("a <> b").select("a", "b").distinct()
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _narrower(mask: int) -> list[int]:
+    """``mask`` with one of RADIUS + 1 blocks of the bits that it leaves open."""
+    free = [j for j in range(64) if not mask >> j & 1]
+    cuts = [len(free) * k // (RADIUS + 1) for k in range(RADIUS + 2)]
+    return [mask | sum(1 << j for j in free[x:y]) for x, y in zip(cuts, cuts[1:])]
+
+
+def _split(rows: DataFrame, masks: list[int]) -> DataFrame:
+    """``rows`` (mask, fp) of shards that fix the bits of one of ``masks`` to the shards of their
+    further blocks: (mask, value, fp)."""
+    into = rows.sparkSession.createDataFrame([(_signed(m), [_signed(x) for x in _narrower(m)]) for m in masks], "mask long, into array<bigint>")
+    narrower = rows.join(F.broadcast(into), "mask").select("fp", F.explode("into").alias("mask"))  # a row per mask, 729 at most
+    return narrower.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value"), "fp")
 
 
 def links(prints: DataFrame) -> DataFrame:
     """Links (a, b) over distinct fingerprints ``fp`` that give their components at RADIUS."""
-
-    def value(first: int, width: int) -> Column:
-        return F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << width) - 1))
-
-    shard = F.explode(F.array(*[F.shiftleft(value(*b), 2).bitwiseOR(F.lit(i)) for i, b in enumerate(BLOCKS)]))
-    routed = prints.select(shard.alias("shard"), "fp")
-    sizes = materialize(routed.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1"), "simhash-shards")
-    small, hot = sizes.where(F.col("n") <= SHARD_LIMIT), sizes.where(F.col("n") > SHARD_LIMIT)
-    sorted_ = routed.join(small, "shard").select("shard", "fp").repartition("shard").sortWithinPartitions("shard", "fp")
-    out = sorted_.mapInArrow(_search_shards, "a long, b long")
-    if not hot.isEmpty():
-        out = out.unionByName(_flip_links(routed.join(hot, "shard").select("fp").distinct()))
-    return out
+    rows, masks, out = prints.select(F.lit(0).cast("long").alias("mask"), "fp"), [0], None
+    while True:
+        routed = _split(rows, masks)
+        shards = materialize(routed.groupBy("mask", "value").agg(F.count("*").alias("n")).where("n > 1"), "simhash-shards")
+        small, hot = (shards.where(c).select("mask", "value") for c in (F.col("n") <= TREE, F.col("n") > TREE))
+        trees = routed.join(small, ["mask", "value"]).select("mask", "value", "fp").repartition("mask", "value").sortWithinPartitions("mask", "value", "fp")
+        found = trees.mapInArrow(_search_shards, "a long, b long")
+        out = found if out is None else out.unionByName(found)
+        masks = [r["mask"] & ((1 << 64) - 1) for r in hot.select("mask").distinct().collect()]
+        if not masks:
+            return out
+        # shards of two masks may fix the same bits, so a fingerprint can come to one twice
+        rows = materialize(routed.join(hot, ["mask", "value"]).select("mask", "fp").distinct(), "simhash-hot")
 
 
 def groups(prints: DataFrame) -> DataFrame:

@@ -96,9 +96,9 @@ def near_docs():
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize("limit", [simhash.SHARD_LIMIT, 1])
+@pytest.mark.parametrize("limit", [simhash.TREE, 4])
 def test_simhash_equals_brute_force(spark, monkeypatch, limit):
-    monkeypatch.setattr(simhash, "SHARD_LIMIT", limit)  # 1: every shard goes by flips
+    monkeypatch.setattr(simhash, "TREE", limit)  # 4: shards are split
     docs = near_docs()
     prints = {d: brute_print(t) for d, t in docs}
     want = brute_groups(prints)
@@ -107,6 +107,35 @@ def test_simhash_equals_brute_force(spark, monkeypatch, limit):
     assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in got} == {d: (f"{prints[d]:016x}", want[d]) for d in prints}
 
 
+def test_a_hot_shard_is_split_into_smaller_trees(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TREE", 16)
+    sizes = []
+    whole = simhash.materialize
+
+    def seen(df, name):
+        out = whole(df, name)
+        if name == "simhash-shards":
+            sizes.append({(r["mask"], r["value"]): r["n"] for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", seen)
+    r = random.Random(9)
+    low = r.sample(range(1 << 12), 700)  # all in one shard of the upper bits, and dense
+    far = [r.getrandbits(64) for _ in range(300)]
+    values = sorted({*(x | 5 << 50 for x in low), *(x << 20 for x in low[:200]), *far, *(x ^ 1 << r.randrange(64) for x in far[:50])})
+    prints = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
+    parts = {x["node"]: x["component"] for x in connected_components(simhash.links(prints)).collect()}
+    got = {}
+    for v in values:
+        s = v - (1 << 64) if v >> 63 else v
+        got.setdefault(parts.get(s, s), set()).add(v)
+    want = {}
+    for v, least in brute_groups({v: v for v in values}).items():
+        want.setdefault(least, set()).add(v)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert len(sizes) > 2 and max(sizes[0].values()) > 16 and max(sizes[-1].values()) <= 16
+
+
 def test_simhash_dedup(spark):
     docs = spark.createDataFrame([(d, t, "s") for d, t in near_docs()], "doc_id long, text string, fp string")
     want = set(brute_groups({d: brute_print(t) for d, t in near_docs()}).values())
