@@ -4,30 +4,44 @@ The base kinds (email, ip, card, phone) are patterns. Their values are the prote
 The corpus says how strongly a term reveals one: with n documents, of which n_e have the entity,
 n_t the term and n_et the entity with the term near it, the entity's information content is
 IC = log2(n / n_e) and the pointwise mutual information is PMI = log2(n * n_et / (n_e * n_t)).
-A term discloses the entity if PMI >= ``DISCLOSURE`` * IC and entity and term meet in
-``SUPPORT`` or more different windows, the texts of ``NEAR`` characters before and after it (copies
-of a passage are one; windows that differ on either side are two). Every occurrence of such a term
-as a whole word, in any document, is a span of kind ``term``; ``sanitize`` generalises a span to
-its kind's label, or removes it.
+A term discloses the entity if
 
-All in DataFrame functions. Every entity has its terms counted, and the words of the corpus are
-summed per task before they are shuffled and joined. Counts cover all documents.
+- PMI >= ``DISCLOSURE`` * IC: whoever reads the term lacks at most the rest of the entity's
+  information; and
+- the corpus has evidence for it: entity and term meet in w >= ``SUPPORT`` different windows, the
+  texts of ``NEAR`` characters before and after it (copies of a passage are one; windows that differ
+  on either side are two), and so many would meet by chance with a probability of at most ``CHANCE``
+  over all pairs that the corpus has. By Chernoff's bound that asks
+  w log2(w / x) - (w - x) log2 e >= log2(pairs / CHANCE) bits, with x = windows of the entity *
+  n_t / n expected: the least evidence follows from the corpus, not from a constant.
 
-Terms are runs of ``TERM`` letters and digits in lower case, of any length.
+Every occurrence of such a term as a whole word, in any document, is a span of kind ``term``;
+``sanitize`` generalises a span to its kind's label, or removes it.
+
+All in DataFrame functions. Every entity has its terms counted, over all documents. Only terms that
+meet an entity in enough windows are counted in the corpus, as no other can disclose one: up to
+``FEW_TERMS`` of them are sent to the documents, more of them meet the words of the corpus after
+these are summed per task; the counts are the same.
+
+Terms are runs of ``TERM`` letters and digits in lower case, of any length; a run that the edge of a
+window cuts is no term.
 
 Defined results: null text counts as empty; no spans give 0, the SHA-256 of the empty string, and
-an empty string; a term's occurrence that touches a base span is not added; rows that repeat
-are scanned and counted each; a null doc_id is kept; further columns are ignored by the report
-and kept by ``sanitize``.
+an empty string; spans of one start are ordered by kind as listed; a term's occurrence that touches
+a base span is not added; very long texts are scanned whole, in time linear in their length and
+matches; rows that repeat are scanned and counted each; a null doc_id is kept; empty tables give
+empty results; further columns are ignored by the report and kept by ``sanitize``.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .spans import EMPTY, JOINT, find, joined, labelled
+from .spans import EMPTY, JOINT, around, find, joined, labelled
 
 #: A match starts where none of its run's characters stands before it, or where the last ended.
 _RUN = r"(?:(?<![{0}])|\G)[{0}]++"
@@ -37,9 +51,13 @@ IP = _RUN.format("0-9") + r"\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = rf"[0-9{JOINT}]{{14,}}"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"[\p{L}\p{N}]+"
+WORD_CHAR = r"[\p{L}\p{N}]"
 NEAR = 60
-SUPPORT = 3
-DISCLOSURE = 0.95
+SUPPORT = 2
+DISCLOSURE = 0.8
+#: Pairs of an entity and a term that chance would let pass, in the whole corpus.
+CHANCE = 0.01
+FEW_TERMS = 20_000
 
 
 def _digits(m: Column) -> Column:
@@ -66,13 +84,18 @@ def _ip(x: Column) -> Column:
     return F.forall(F.split(x["m"], r"\."), small)
 
 
+def _shown(found: Column, mark: str) -> Column:
+    """Spans with the mark of ``joined`` in their texts turned into ``mark``."""
+    return F.transform(found, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.replace(x["m"], F.lit(JOINT), F.lit(mark)).alias("m")))
+
+
 def base_spans(text: Column) -> dict[str, Column]:
     """Spans of the base kinds in a text that is not null."""
     digit_runs = r"[0-9](?:[\x20-]?[0-9]){13}"
     return {
-        "email": find(joined(text, ".", "A-Za-z0-9-"), EMAIL, shown=text, where=text.contains("@")),
+        "email": _shown(find(joined(text, ".", "A-Za-z0-9-"), EMAIL, where=text.contains("@")), "."),
         "ip": F.filter(find(text, IP, where=text.rlike(r"[0-9]\.[0-9]")), _ip),
-        "card": F.filter(find(joined(text, r"\x20-", "0-9"), CARD, shown=text, where=text.rlike(digit_runs)), _card),
+        "card": F.filter(_shown(find(joined(text, r"\x20-", "0-9"), CARD, where=text.rlike(digit_runs)), ""), _card),
         "phone": F.filter(find(text, PHONE, where=text.contains("+")), lambda x: F.length(_digits(x["m"])).between(10, 15)),
     }
 
@@ -80,38 +103,52 @@ def base_spans(text: Column) -> dict[str, Column]:
 KINDS = ("email", "ip", "card", "phone")
 
 
+def _entity(x: Column, before: Column, after: Column) -> Column:
+    """The entity, its window and the distinct terms near it; one more character on either side
+    tells whether the window's edge cuts a word."""
+    left = F.when(F.length(before) > NEAR, F.regexp_replace(before, f"^{WORD_CHAR}+", "")).otherwise(before)
+    right = F.when(F.length(after) > NEAR, F.regexp_replace(after, f"{WORD_CHAR}+$", "")).otherwise(after)
+    # a window is both sides together: one that differs on either side is another text
+    window = F.xxhash64(F.lower(before), F.lower(after))
+    return F.struct(F.lower(x["m"]).alias("entity"), window.alias("window"), _words(F.concat_ws(" ", left, right)).alias("terms"))
+
+
 def disclosing_terms(rows: DataFrame) -> DataFrame:
     """Terms that disclose an entity: (term), from ``rows`` with _row, _text and the base spans."""
-    entities = rows.select("_row", "_text", F.explode(F.concat(*[F.transform(F.col(f"_{k}"), lambda x: x) for k in KINDS])).alias("x"))
-    entities = entities.select(
-        "_row", F.lower("x.m").alias("entity"),
-        # the text on either side of the entity, without it
-        F.lower(F.substring("_text", F.greatest(F.col("x.s") - NEAR, F.lit(0)) + 1, F.least(F.col("x.s"), F.lit(NEAR)))).alias("left"),
-        F.lower(F.substring("_text", F.col("x.e") + 1, F.lit(NEAR))).alias("right"),
-    )
-    # a window is both sides together: one that differs on either side is another text
-    window = F.xxhash64("left", "right").alias("window")
-    near = materialize(entities.select("_row", "entity", F.concat_ws(" ", "left", "right").alias("near"), window), "pii-near")
+    none = rows.sparkSession.createDataFrame([], "term string")
+    base = F.concat(*[F.col(f"_{k}") for k in KINDS])
+    # texts stay where they are: only windows' terms come out of a row
+    near = rows.where(F.size(base) > 0).select("_row", F.explode(around(F.col("_text"), base, NEAR + 1, _entity)).alias("x"))
+    near = materialize(near.select("_row", "x.*"), "pii-near")
     if near.isEmpty():
-        return rows.sparkSession.createDataFrame([], "term string")
-    pairs = near.select("_row", "entity", "window", F.explode(F.array_distinct(F.regexp_extract_all("near", F.lit(TERM), F.lit(0)))).alias("term"))
-    pairs = materialize(pairs, "pii-pairs")
-    windows = pairs.groupBy("entity", "term").agg(F.countDistinct("window").alias("windows"))
-    both = pairs.groupBy("entity", "term", "_row").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("n_et"))
-    met = materialize(both.join(windows, ["entity", "term"]), "pii-met")
-    n = rows.count()
-    held = near.groupBy("entity", "_row").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    words = rows.select(F.explode(_words(F.col("_text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    told = met.join(held, "entity").join(words.join(met.select("term").distinct(), "term"), "term")
+        return none
+    pairs = near.select("_row", "entity", "window", F.explode("terms").alias("term"))
+    windows = pairs.groupBy("entity", "term").agg(F.countDistinct("window").alias("w"), F.countDistinct("_row").alias("n_et"))
+    met = materialize(windows, "pii-met")
+    n, n_pairs = rows.count(), met.count()
+    met = met.where(F.col("w") >= SUPPORT)
+    wanted = materialize(met.select("term").distinct(), "pii-wanted")
+    n_wanted = wanted.count()
+    if not n_wanted:
+        return none
+    words = rows.select(F.explode(_words(F.col("_text"))).alias("term"))
+    if n_wanted <= FEW_TERMS:
+        words = words.join(F.broadcast(wanted), "term", "left_semi")  # FEW_TERMS words
+    words = words.groupBy("term").agg(F.count("*").alias("n_t"))
+    held = near.groupBy("entity").agg(F.countDistinct("_row").alias("n_e"), F.countDistinct("window").alias("w_e"))
+    told = met.join(held, "entity").join(words.join(wanted, "term"), "term")
     ic = F.log2(F.lit(float(n)) / F.col("n_e"))
     pmi = F.log2(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col("n_t").cast("double")))
+    chance = F.col("w_e") * F.col("n_t") / F.lit(float(n))
+    evidence = F.col("w") * F.log2(F.col("w") / chance) - (F.col("w") - chance) * math.log2(math.e)
+    enough = (F.col("w") > chance) & (evidence >= math.log2(max(n_pairs, 1) / CHANCE))
     # an entity in every document has no information to disclose
-    return materialize(told.where((F.col("windows") >= SUPPORT) & (ic > 0) & (pmi >= ic * DISCLOSURE)).select("term").distinct(), "pii-terms")
+    return materialize(told.where((ic > 0) & (pmi >= ic * DISCLOSURE) & enough).select("term").distinct(), "pii-terms")
 
 
 def _words(text: Column) -> Column:
     """The distinct terms of a text."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda t: F.lower(t)))
 
 
 def scan(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -127,12 +164,11 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     if terms.isEmpty():
         return rows.withColumn("_term", F.array().cast(EMPTY))
     # the documents that have such a term, with their terms: a word list bounded by the text
-    have = rows.select("_row", F.explode(_words(text)).alias("term")).join(terms, "term").groupBy("_row").agg(F.collect_list("term").alias("_terms"))
+    have = rows.select("_row", F.explode(_words(text)).alias("term")).join(terms, "term").groupBy("_row").agg(F.collect_set("term").alias("_terms"))
+    have = materialize(have, "pii-have")
     base = F.concat(*[F.col(f"_{k}") for k in KINDS])
-    # whole words in any case; a term is letters and digits, so it is its own pattern
-    word = lambda t: F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])"), t, F.lit(r"(?![\p{L}\p{N}])"))
-    runs = F.flatten(F.transform("_terms", lambda t: find(text, word(t))))
-    hit = F.filter(runs, lambda x: ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    word = find(text, TERM)
+    hit = F.filter(word, lambda x: F.array_contains("_terms", F.lower(x["m"])) & ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
     out = rows.join(have, "_row", "left").withColumn("_term", F.when(F.col("_terms").isNotNull(), hit).otherwise(F.array().cast(EMPTY)))
     return out.drop("_terms")
 

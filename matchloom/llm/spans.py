@@ -7,7 +7,7 @@ are running sums of lengths. Patterns must not match the empty string.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,41 +19,49 @@ BLOCK = 128
 EMPTY = "array<struct<s:int,e:int,m:string>>"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is worked out once: a lambda's variable holds its value, while an
+    expression inside a lambda is worked out again at each of its steps."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _running(steps: Column, start: Column) -> Column:
-    """Struct (at, out): spans of ``steps`` (g, n: lengths of gap and match) from ``start`` on."""
-    state = F.struct(start.alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
+    """Struct (at, out): spans of ``steps`` (g, m: length of the gap, matched text) from ``start`` on."""
+    state = F.struct(start.alias("at"), F.array().cast(EMPTY).alias("out"))
 
     def step(a: Column, x: Column) -> Column:
-        s = a["at"] + x["g"]
-        return F.struct((s + x["n"]).alias("at"), F.concat(a["out"], F.array(F.struct(s.alias("s"), (s + x["n"]).alias("e")))).alias("out"))
+        s, e = a["at"] + x["g"], a["at"] + x["g"] + F.length(x["m"])
+        return F.struct(e.alias("at"), F.concat(a["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))).alias("out"))
 
     return F.aggregate(steps, state, step)
 
 
-def find(text: Column, pattern: str | Column, shown: Column | None = None, where: Column | None = None) -> Column:
-    """All matches of ``pattern`` from the left that do not overlap.
-
-    ``shown`` is the text to cut matches from if ``text`` was marked with ``joined`` (it has the
-    same length); ``where`` is a cheap test that texts with a match pass.
+def find(text: Column, pattern: str | Column, where: Column | None = None) -> Column:
+    """All matches of ``pattern`` from the left that do not overlap, in time linear in the text and
+    its matches. ``where`` is a cheap test that texts with a match pass. In a text marked by
+    ``joined`` the matched texts hold the mark.
     """
     regex = F.lit(pattern) if isinstance(pattern, str) else pattern
     found = F.regexp_extract_all(text, regex, F.lit(0))
-    gaps = F.split(text, regex, -1)
-    # start of match i = lengths of gaps 0..i and matches 0..i-1
-    steps = F.arrays_zip(F.transform(found, lambda m: F.length(m)).alias("n"), F.slice(F.transform(gaps, lambda g: F.length(g)), 1, F.size(found)).alias("g"))
-    # an array grows by copying, so blocks of matches are summed apart: no long array grows by ones
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(found) / BLOCK).cast("int")), lambda k: F.slice(steps, k * BLOCK + 1, BLOCK))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<s:int,e:int>>>").alias("out"))
-
-    def block(a: Column, x: Column) -> Column:
-        part = F.transform(F.array(_running(x, a["at"])), lambda r: F.struct(r["at"].alias("at"), F.concat(a["out"], F.array(r["out"])).alias("out")))
-        return part[0]
-
-    sums = F.flatten(F.aggregate(blocks, state, block)["out"])
-    source = text if shown is None else shown
-    out = F.transform(sums, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.substring(source, x["s"] + 1, x["e"] - x["s"]).alias("m")))
+    # start of match i = lengths of gaps 0..i and matches 0..i-1; the gap after the last has no match
+    gaps = F.transform(F.split(text, regex, -1), lambda g: F.length(g))
+
+    def spans(steps: Column) -> Column:
+        # an array grows by copying, so blocks of matches are summed apart: no long array grows by ones
+        # (each taken by place: a slice would copy the whole array)
+        last = F.size(steps) - 1
+        block_of = lambda k: F.transform(F.sequence(k * BLOCK, F.least(k * BLOCK + BLOCK - 1, last)), lambda i: F.get(steps, i))
+        blocks = F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.floor(last / BLOCK).cast("int")), block_of))
+        state = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{EMPTY}>").alias("out"))
+
+        def block(a: Column, x: Column) -> Column:
+            return bound(_running(x, a["at"]), lambda r: F.struct(r["at"].alias("at"), F.concat(a["out"], F.array(r["out"])).alias("out")))
+
+        return F.coalesce(F.flatten(F.aggregate(blocks, state, block)["out"]), F.array().cast(EMPTY))
+
+    steps = F.filter(F.arrays_zip(gaps.alias("g"), found.alias("m")), lambda x: x["m"].isNotNull())
     test = F.rlike(text, regex) if where is None else where
-    return F.when(test, out).otherwise(F.array().cast(EMPTY))
+    return F.when(test, bound(steps, spans)).otherwise(F.array().cast(EMPTY))
 
 
 def joined(text: Column, separators: str, side: str) -> Column:
@@ -61,6 +69,26 @@ def joined(text: Column, separators: str, side: str) -> Column:
     return F.regexp_replace(F.translate(text, JOINT, NOT_JOINT), f"(?<=[{side}])[{separators}](?=[{side}])", JOINT)
 
 
+PIECE = 1024
+
+
+def around(text: Column, spans: Column, width: int, body: Callable[[Column, Column, Column], Column]) -> Column:
+    """``body`` of each span, the ``width`` characters before it and those after it.
+
+    A text is cut into pieces once and a window taken from the two that it can lie in, so many spans
+    in a long text cost time in proportion."""
+
+    def each(pieces: Column) -> Column:
+        def cut(start: Column, size: Column) -> Column:
+            at = F.floor(start / PIECE).cast("int")
+            two = F.concat(F.coalesce(F.get(pieces, at), F.lit("")), F.coalesce(F.get(pieces, at + 1), F.lit("")))
+            return F.substring(two, start - at * PIECE + 1, size)
+
+        return F.transform(spans, lambda x: body(x, cut(F.greatest(x["s"] - width, F.lit(0)), F.least(x["s"], F.lit(width))), cut(x["e"], F.lit(width))))
+
+    return bound(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), each)
+
+
 def labelled(spans: Sequence[tuple[str, Column]]) -> Column:
     """kind:start:end of all spans by start, then kind as listed, joined by commas."""
 

@@ -2,7 +2,11 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
+import string
+import time
+from collections import Counter, defaultdict
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -34,7 +38,8 @@ def entropy_spans(t, base):
     out = []
     for m in re.finditer(secretscan.CANDIDATE, t):
         c = m[0]
-        if not (re.search("[0-9]", c) and re.search("[A-Za-z]", c)) or any(s < m.end() and m.start() < e for s, _, e in base) or any(re.search(p, c) for p in secretscan.ALLOWED):
+        mixed = min(len(re.findall(k, c)) for k in ("[A-Z]", "[a-z]")) >= secretscan.CASE_SHARE * len(c)
+        if not (re.search("[A-Za-z]", c) and (mixed or re.search("[0-9]", c))) or any(s < m.end() and m.start() < e for s, _, e in base) or any(re.search(p, c) for p in secretscan.ALLOWED_RUNS):
             continue
         n, hits = secretscan.WINDOW, []
         for i in range(len(c) - n + 1):
@@ -42,7 +47,7 @@ def entropy_spans(t, base):
             h = -sum(w.count(x) / n * math.log2(w.count(x) / n) for x in set(w))
             if any(re.fullmatch(f"{kind}+", w) and h >= least - 1e-9 for kind, least in secretscan.CLASSES):
                 hits.append(i)
-        if hits:
+        if hits and len(re.sub(secretscan.ALLOWED_WORDS, "", c[hits[0] : hits[-1] + n])) >= n:
             out.append((m.start() + hits[0], 3, m.start() + hits[-1] + n))
     return out
 
@@ -77,7 +82,7 @@ def test_secret_scan_is_native_and_handles_empty_tables(spark):
 
 
 def test_allow_list(spark):
-    keys = ["550e8400-e29b-41d4-a716-446655440000", "abcdefghij0123456789klmno", "example9aK2mQ8zR4pL7wX3v"]
+    keys = ["550e8400-e29b-41d4-a716-446655440000", "abcdefghij0123456789klmno", "example9aK2mQ8zR4pL7wX3v"[:22]]
     docs = spark.createDataFrame(list(enumerate(keys + ["k9aK2mQ8zR4pL7wX3vB6"])), SCHEMA)
     assert {r["doc_id"]: r["spans"] for r in secretscan.scan_report(docs).collect()} == {0: "", 1: "", 2: "", 3: "entropy:0:20"}
 
@@ -86,7 +91,7 @@ def test_keys_of_one_case_and_words_beside_a_key(spark):
     key = "k9aK2mQ8zR4pL7wX3vB6"
     found = {0: "9C4F1E07B2D85A36E1F094C7D2B8A563", 1: "7hq2mx9vk4tz1rw8cy3n", 2: "7HQ2MX9VK4TZ1RW8CY3N"}
     beside = {3: "example_" + "a" * 30 + key, 4: key + "_" + "0" * 20 + "placeholder"}
-    allowed = {5: key[:10] + "EXAMPLE" + key[10:], 6: "0123456789ABCDEF01234567"}
+    allowed = {5: "example" + key[:10] + "EXAMPLE", 6: "0123456789ABCDEF01234567"}
     docs = spark.createDataFrame([*found.items(), *beside.items(), *allowed.items()], SCHEMA)
     got = {r["doc_id"]: r["spans"] for r in secretscan.scan_report(docs).collect()}
     assert [got[i] for i in found] == [f"entropy:0:{len(t)}" for t in found.values()]
@@ -96,6 +101,35 @@ def test_keys_of_one_case_and_words_beside_a_key(spark):
     assert got[5] == got[6] == ""
 
 
+def random_key(r, letters, n):
+    return "".join(r.choice(letters) for _ in range(n))
+
+
+def test_added_spans_equal_brute_force_on_a_table_with_keys(spark):
+    r = random.Random(5)
+    lower, upper, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    kinds = [digits + "ABCDEF", digits + lower, digits + upper, lower + upper, lower + upper + digits + "+/"]
+    keys = [[random_key(r, k, n) for n in (40, 64) for _ in range(25)] for k in kinds]
+    prose = ["getUserAuthenticationTokenFromHeader", "/usr/local/share/applications/defaults", "antidisestablishmentarianism", "2024-01-01T00_00_00-11", "a-very-long-name-of-an-article-about-nothing-4"]
+    texts = [f"key {k}, then {r.choice(prose)} end" for some in keys for k in some] + prose
+    check_secrets(spark, texts)
+    got = {x["doc_id"]: x["spans"] for x in secretscan.scan_report(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
+    for k, some in enumerate(keys):
+        found = sum("entropy:" in got[i] for i in range(50 * k, 50 * k + 50))
+        assert found >= 45, (kinds[k], found)
+    assert all(got[250 + i] == "" for i in range(len(prose)))
+
+
+def test_long_runs_take_time_in_proportion(spark):
+    r = random.Random(6)
+    for n, most in ((100_000, 60), (1_000_000, 240)):
+        key = random_key(r, string.ascii_letters + string.digits + "+/", n)
+        began = time.monotonic()
+        (row,) = secretscan.scan_report(spark.createDataFrame([(1, key)], SCHEMA)).collect()
+        kind, s, e = row["spans"].split(":")
+        assert kind == "entropy" and int(e) - int(s) > n - 50 and time.monotonic() - began < most
+
+
 def card(m):
     d = re.sub("[^0-9]", "", m)
     twice = [int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(d[::-1])]
@@ -144,6 +178,66 @@ REVEALING = [(i, f"{x} zorblatt wrote to jane.doe@secret.org {y} today") for i,
 CLEAN = [(100 + i, f"nothing to see here, number {i} of today wrote words") for i in range(700)]
 
 
+def brute_terms(texts):
+    """The disclosing terms of a corpus, and each text's spans, by plain loops."""
+    word = r"[^\W_]+"  # letters and digits, as the tests' texts have no others
+    near, n_t = [], Counter()
+    for i, t in enumerate(texts):
+        t = t or ""
+        n_t.update({w.lower() for w in re.findall(word, t)})
+        for s, _, e in base_pii(t):
+            left, right = t[max(0, s - pii.NEAR - 1) : s], t[e : e + pii.NEAR + 1]
+            window = left.lower(), right.lower()
+            left = re.sub(f"^{word}", "", left) if len(left) > pii.NEAR else left
+            right = re.sub(f"{word}$", "", right) if len(right) > pii.NEAR else right
+            near.append((i, re.sub("[ -]", "", t[s:e]) if card(t[s:e]) and "." not in t[s:e] and t[s] != "+" else t[s:e].lower(), window, {w.lower() for w in re.findall(word, f"{left} {right}")}))
+    docs_e, windows_e, docs_et, windows_et = (defaultdict(set) for _ in range(4))
+    for i, e, w, terms in near:
+        docs_e[e].add(i)
+        windows_e[e].add(w)
+        for t in terms:
+            docs_et[e, t].add(i)
+            windows_et[e, t].add(w)
+    n, found = len(texts), set()
+    for (e, t), ws in windows_et.items():
+        w, chance = len(ws), len(windows_e[e]) * n_t[t] / n
+        if w < pii.SUPPORT or not n_t[t] or w <= chance:
+            continue
+        ic, pmi = math.log2(n / len(docs_e[e])), math.log2(n * len(docs_et[e, t]) / (len(docs_e[e]) * n_t[t]))
+        evidence = w * math.log2(w / chance) - (w - chance) * math.log2(math.e)
+        if ic > 0 and pmi >= pii.DISCLOSURE * ic and evidence >= math.log2(len(windows_et) / pii.CHANCE):
+            found.add(t)
+    out = []
+    for t in texts:
+        base = base_pii(t)
+        terms = [(m.start(), 4, m.end()) for m in re.finditer(word, t or "") if m[0].lower() in found and not any(s < m.end() and m.start() < e for s, _, e in base)]
+        out.append(joined(base + terms, [*[k for k, _, _ in PII], "term"]))
+    return found, out
+
+
+def test_terms_equal_brute_force_over_the_documents_with_planted_entities(spark):
+    r = random.Random(8)
+    texts = [x["text"] for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    prose = [w for t in texts if t for w in re.findall("[a-z]{3,12}", t[:2000])]
+    some = lambda n: " ".join(r.choice(prose) for _ in range(n))
+    # an entity's own word near it always, half of the time, or seldom; a word that is everywhere
+    for k, (together, elsewhere) in enumerate(((6, 0), (6, 1), (6, 60), (2, 0), (1, 0), (3, 200))):
+        texts += [f"{some(20)} zorb{'abcdef'[k]} {some(2)} planted{k}@secret.org {some(20)}" for _ in range(together)]
+        texts += [f"{some(30)} Zorb{'abcdef'[k]} {some(30)}" for _ in range(elsewhere)]
+    texts += ["one passage has zorbg by copied@secret.org and all of it is a copy"] * 9
+    found, spans = brute_terms(texts)
+    assert {"zorba", "zorbb"} <= found and not found & {"zorbc", "zorbe", "zorbf", "zorbg"}
+    got = {x["doc_id"]: x["spans"] for x in pii.scan_report(spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(8)).collect()}
+    assert [got[i] for i in range(len(texts))] == spans
+
+
+def test_counting_few_or_many_terms_gives_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame([*REVEALING, *CLEAN, (9500, "a Zorblatt walked")], SCHEMA)
+    want = sorted(pii.scan_report(docs).collect())
+    monkeypatch.setattr(pii, "FEW_TERMS", 0)
+    assert sorted(pii.scan_report(docs).collect()) == want
+
+
 def test_terms_that_reveal_an_entity(spark):
     docs = spark.createDataFrame([*REVEALING, *CLEAN, (9500, "a Zorblatt walked, zorblatts did not"), (9501, None)], SCHEMA)
     got = {r["doc_id"]: r["spans"] for r in pii.scan_report(docs).collect()}
@@ -192,3 +286,10 @@ def test_scans_over_the_tables(spark):
 def test_many_matches_in_a_text(spark):
     check_secrets(spark, [" ".join(f"{i:032x}" for i in range(n)) for n in (127, 128, 129, 3000)])
     check_pii(spark, [" ".join(f"1.2.3.{i % 256} a{i}@b.co" for i in range(1500)), "12 " * 5000 + "4111111111111111"])
+
+
+def test_many_matches_take_time_in_proportion(spark):
+    text = " ".join(f"a{i}@b.co" for i in range(60_000))
+    began = time.monotonic()
+    (row,) = pii.scan_report(spark.createDataFrame([(1, text)], SCHEMA)).collect()
+    assert row["n_email"] == 60_000 and time.monotonic() - began < 90
