@@ -2,21 +2,25 @@
 
 Texts are dealt by ranges of doc_id; the rows of a range are encoded in order, an end id follows
 each document, and blocks of about ``BLOCK_IDS`` ids are compressed: in each round the pairs of
-neighbours that are frequent in the block become rules, and their occurrences, from the left
-and never over the end of a document, become the rule's symbol. A block stores its rules, the
-length each expands to, its symbols, and where each document starts among symbols and among ids,
-so that a document is decoded alone (``Block.document``) by expanding its own symbols only.
+neighbours that are most frequent in the block become rules, ``RULES_A_ROUND`` at a time, and their
+occurrences, from the left and never over the end of a document, become the rule's symbol. Rounds
+go on until no pair of the block is there ``LEAST`` times (a rule takes twelve bytes and an
+occurrence saves about two, so rarer pairs do not pay). A block stores its rules, the length each
+expands to, its symbols, and where each document starts among symbols and among ids, so that a
+document is decoded alone (``Block.document``) by expanding its own symbols only.
 
 File format: a folder of Parquet files written by Spark (its commit protocol drops what lost
 tasks left) with columns shard, block, n_ids, payload. A payload is a header of eight 32-bit
-integers (magic, base of the rules' symbols, rules, symbols, documents, ids, bytes a symbol,
-zero), then the arrays left, right and expansion length of the rules (uint32), symbols (uint16
-or uint32), doc_id (int64), null flags of doc_id (uint8), first symbol and first id of each
-document (uint32, one more entry at the end). Shards and blocks ascend with doc_id.
+integers (magic, base of the rules' symbols, rules, symbols, documents, ids, bits a symbol,
+zero), then the arrays left, right and expansion length of the rules (uint32), doc_id (int64),
+null flags of doc_id (uint8), first symbol and first id of each document (uint32, one more entry
+at the end), and the symbols: a plane of one bit each for every bit, the lowest first, a plane in
+whole bytes. Shards and blocks ascend with doc_id.
 
 Defined results: null text counts as empty (its one id is the end id); null doc_id comes first;
 rows that repeat a doc_id are documents of their own, by a hash of the text within a shard; empty tables
-give no files' rows; further columns are ignored.
+give no files' rows; a text is encoded whole, and one longer than a block is a block of its own; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,8 +44,8 @@ from .wordtable import WordTable
 END = 0
 MAGIC = 0x31475052
 BLOCK_IDS = 1 << 20
-#: Rounds of a block, rules of a round and of a block, and the least count of a pair.
-ROUNDS, RULES_A_ROUND, RULES, LEAST = 4, 4096, 15_000, 8
+#: Rules of a round, and the least count of a pair.
+RULES_A_ROUND, LEAST = 4096, 8
 KEPT_WORDS = 1_500_000
 #: White space as the vocabulary's pattern has it (fixed values: Unicode White_Space).
 SPACE = r"\t-\r " + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -130,34 +134,37 @@ def encoder(data: bytes, added: bool = False) -> Encoder:
 
 
 def repair(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Re-Pair of ids; ``ends`` are the places of each document's last id.
+    """Re-Pair of ids under ``base``; ``ends`` are the places of each document's last id.
 
     Returns symbols, their ``ends``, and the left and right symbols of the rules; rule i is the
     symbol base + i.
     """
-    seq, left, right = ids.astype(np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    # a pair in one number, as short as the symbols allow
-    pack, shift = (np.uint32, 16) if base + RULES <= 1 << 16 else (np.uint64, 32)
-    for _ in range(ROUNDS):
-        room = min(RULES_A_ROUND, RULES - len(left))
-        if room <= 0 or len(seq) < 2:
-            break
+    seen = np.zeros(base, bool)
+    seen[ids] = True
+    own = np.flatnonzero(seen)  # the block's ids get numbers without gaps, so that pairs stay short
+    number = np.zeros(base, np.int32)
+    number[own] = np.arange(len(own))
+    seq, left, right = number[ids], np.empty(0, np.int64), np.empty(0, np.int64)
+    while len(seq) > 1:
+        top = len(own) + len(left)
+        # a pair in one number, as short as the symbols allow
+        pack, shift = (np.uint32, 16) if top < 1 << 16 else (np.uint64, 32)
+        none = np.iinfo(pack).max
         wide = seq.astype(pack)
         pairs = (wide[:-1] << pack(shift)) | wide[1:]
-        pairs[ends[:-1]] = np.iinfo(pack).max  # no pair goes over the end of a document
+        pairs[ends[:-1]] = none  # no pair goes over the end of a document
         pairs.sort()
         edge = np.flatnonzero(pairs[1:] != pairs[:-1]) + 1
         edge = np.concatenate([[0], edge, [len(pairs)]])
         count, kinds = np.diff(edge), pairs[edge[:-1]]
-        often = np.flatnonzero((count >= LEAST) & (kinds != np.iinfo(pack).max))
-        often = often[np.lexsort((kinds[often], -count[often]))[:room]]
+        often = np.flatnonzero((count >= LEAST) & (kinds != none))
         if not len(often):
             break
+        often = often[np.lexsort((kinds[often], -count[often]))[:RULES_A_ROUND]]
         a, b = (kinds[often] >> pack(shift)).astype(np.int64), (kinds[often] & pack((1 << shift) - 1)).astype(np.int64)
-        top = base + len(left)
         # a rule for each chosen (left, right), looked up over the symbols that are in one
         lefts, rights = np.unique(a), np.unique(b)
-        row, col = np.zeros(top, np.int64), np.zeros(top, np.int64)
+        row, col = np.zeros(top, np.int32), np.zeros(top, np.int32)
         row[lefts], col[rights] = np.arange(1, len(lefts) + 1) * (len(rights) + 1), np.arange(1, len(rights) + 1)
         table = np.zeros((len(lefts) + 1) * (len(rights) + 1), np.int32)
         table[row[a] + col[b]] = np.arange(top, top + len(a))
@@ -167,30 +174,32 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray, np
         rule[ends[:-1]] = 0
         # of overlapping occurrences each second one goes, from the left
         at = np.flatnonzero(rule)
-        if len(at):
-            first = np.concatenate([[True], np.diff(at) > 1])
-            begun = np.maximum.accumulate(np.where(first, at, 0))
-            at = at[(at - begun) % 2 == 0]
+        first = np.concatenate([[True], np.diff(at) > 1])
+        begun = np.maximum.accumulate(np.where(first, at, 0))
+        at = at[(at - begun) % 2 == 0]
         seq[at] = rule[at]
         ends = ends - np.searchsorted(at + 1, ends, side="right")
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         seq = seq[stay]
         left, right = np.concatenate([left, a]), np.concatenate([right, b])
-    return seq, ends, left, right
+    symbol = np.concatenate([own, base + np.arange(len(left))])
+    return symbol[seq], ends, symbol[left], symbol[right]
 
 
-def expand(seq: np.ndarray, left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
-    """The ids that symbols stand for."""
-    seq = seq.astype(np.int32)
-    left, right = left.astype(np.int32), right.astype(np.int32)
-    while len(at := np.flatnonzero(seq >= base)):
-        # each rule's symbol makes room for one more
-        which = seq[at] - base
-        out = np.insert(seq, at + 1, right[which])
-        out[at + np.arange(len(at))] = left[which]
-        seq = out
-    return seq.astype("<u4")
+def expand(seq: np.ndarray, left: np.ndarray, right: np.ndarray, sizes: np.ndarray, base: int) -> np.ndarray:
+    """The ids that symbols stand for: a rule's place is shared by its two sides, by their lengths."""
+    size = np.concatenate([np.ones(base, np.int64), sizes])
+    seq = seq.astype(np.int64)
+    each = size[seq]
+    at, out = np.cumsum(each) - each, np.empty(int(each.sum()), "<u4")
+    while len(seq):
+        plain = seq < base
+        out[at[plain]] = seq[plain]
+        seq, at = seq[~plain] - base, at[~plain]
+        one, two = left[seq].astype(np.int64), right[seq].astype(np.int64)
+        seq, at = np.concatenate([one, two]), np.concatenate([at, at + size[one]])
+    return out
 
 
 def expansion_lengths(left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
@@ -214,7 +223,7 @@ class Block:
         head = np.frombuffer(payload, "<u4", 8)
         if head[0] != MAGIC:
             raise ValueError("not a block of token ids")
-        _, self.base, rules, symbols, docs, self.n_ids, width, _ = map(int, head)
+        _, self.base, rules, self.n_symbols, docs, self.n_ids, self.width, _ = map(int, head)
         at = 32
 
         def take(kind: str, n: int) -> np.ndarray:
@@ -224,16 +233,24 @@ class Block:
             return out
 
         self.left, self.right, self.sizes = (take("<u4", rules) for _ in range(3))
-        self.symbols = take("<u2" if width == 2 else "<u4", symbols)
         self.doc_ids, self.null = take("<i8", docs), take("u1", docs)
         self.first_symbol, self.first_id = take("<u4", docs + 1), take("<u4", docs + 1)
+        self.planes = take("u1", self.width * ((self.n_symbols + 7) // 8)).reshape(self.width, -1)
+
+    def symbols(self, start: int, end: int) -> np.ndarray:
+        """The symbols from ``start`` to ``end``, read from their bits alone."""
+        out, first = np.zeros(end - start, np.uint32), start // 8
+        for j, plane in enumerate(self.planes[:, first : (end + 7) // 8]):
+            out |= np.unpackbits(plane)[start - 8 * first : end - 8 * first].astype(np.uint32) << np.uint32(j)
+        return out
 
     def ids(self) -> np.ndarray:
-        return expand(self.symbols, self.left, self.right, self.base)
+        return expand(self.symbols(0, self.n_symbols), self.left, self.right, self.sizes, self.base)
 
     def document(self, i: int) -> np.ndarray:
         """The ids of the i-th document, from its own symbols."""
-        return expand(self.symbols[self.first_symbol[i] : self.first_symbol[i + 1]], self.left, self.right, self.base)
+        own = self.symbols(int(self.first_symbol[i]), int(self.first_symbol[i + 1]))
+        return expand(own, self.left, self.right, self.sizes, self.base)
 
     @staticmethod
     def payload(parts: list[bytes], doc_ids: list[int | None], base: int) -> bytes:
@@ -241,13 +258,14 @@ class Block:
         sizes = np.array([len(p) // 4 for p in parts], np.int64)
         ids = np.frombuffer(b"".join(parts), "<u4")
         seq, ends, left, right = repair(ids, np.cumsum(sizes) - 1, base)
-        wide = base + len(left) > 1 << 16
-        head = np.array([MAGIC, base, len(left), len(seq), len(parts), len(ids), 4 if wide else 2, 0], "<u4")
+        width = (base + len(left) - 1).bit_length()
+        seq = seq.astype(np.uint32)
+        head = np.array([MAGIC, base, len(left), len(seq), len(parts), len(ids), width, 0], "<u4")
         arrays = [
             head, left.astype("<u4"), right.astype("<u4"), expansion_lengths(left, right, base).astype("<u4"),
-            seq.astype("<u4" if wide else "<u2"),
             np.array([d or 0 for d in doc_ids], "<i8"), np.array([d is None for d in doc_ids], "u1"),
             np.concatenate([[0], ends + 1]).astype("<u4"), np.concatenate([[0], np.cumsum(sizes)]).astype("<u4"),
+            *(np.packbits((seq >> np.uint32(j)).astype(np.uint8) & 1) for j in range(width)),
         ]
         return b"".join(a.tobytes() for a in arrays)
 

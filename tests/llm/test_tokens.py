@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -66,21 +67,41 @@ def test_block_round_trip(docs, repeats):
     b = tokenout.Block(tokenout.Block.payload(parts, [None, *range(1, len(parts))], 5))
     assert b.ids().tobytes() == b"".join(parts) and b.null.tolist() == [1] + [0] * (len(parts) - 1)
     assert all(b.document(i).tobytes() == p for i, p in enumerate(parts))
-    assert b.sizes.tolist() == [len(tokenout.expand(np.array([5 + i]), b.left, b.right, 5)) for i in range(len(b.left))]
+    length = lambda x: 1 if x < 5 else length(b.left[x - 5]) + length(b.right[x - 5])
+    assert b.sizes.tolist() == [length(5 + i) for i in range(len(b.left))]
 
 
-def test_rules_shorten_repeats_and_stay_in_documents():
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 6), min_size=1, max_size=200), min_size=1, max_size=12), st.integers(1, 40))
+def test_rules_are_made_until_no_pair_is_frequent(docs, repeats):
+    parts = [np.array(d * repeats, "<u4").tobytes() for d in docs]
+    b = tokenout.Block(tokenout.Block.payload(parts, list(range(len(parts))), 7))
+    count = Counter()
+    for x, y in zip(b.first_symbol[:-1].tolist(), b.first_symbol[1:].tolist()):
+        own = b.symbols(x, y).tolist()
+        count.update(zip(own, own[1:]))
+    assert max(count.values(), default=0) < tokenout.LEAST and b.ids().tobytes() == b"".join(parts)
+
+
+def test_rules_shorten_repeats_and_stay_in_documents(monkeypatch):
     docs = [[1, 2, 3, 4] * 200, [9, 9, 9, 9, 9, 9, 9], [1, 2] * 50]
     parts = [np.array(d, "<u4").tobytes() for d in docs]
     b = tokenout.Block(tokenout.Block.payload(parts, [0, 1, 2], 10))
-    assert len(b.symbols) < sum(map(len, docs)) / 4 and b.symbols.dtype == np.dtype("<u2")
+    assert b.n_symbols < sum(map(len, docs)) / 20 and b.sizes.max() > 64
     assert b.document(2).tolist() == docs[2]
     wide = tokenout.Block(tokenout.Block.payload(parts, [0, 1, 2], 70_000))
-    assert wide.symbols.dtype == np.dtype("<u4") and wide.ids().tobytes() == b"".join(parts)
+    assert wide.width == 17 and wide.ids().tobytes() == b"".join(parts)
     with pytest.raises(ValueError):
         tokenout.Block(b"\0" * 32)
 
 
+def test_a_block_with_more_symbols_than_sixteen_bits_hold():
+    r = np.random.default_rng(4)
+    ids = np.concatenate([np.arange(69_000), r.integers(0, 50, 30_000), np.tile(r.integers(0, 69_000, 400), 20)]).astype("<u4")
+    b = tokenout.Block(tokenout.Block.payload([ids.tobytes()], [1], 70_000))
+    assert b.ids().tobytes() == ids.tobytes() and len(b.left) > 100
+
+
 @pytest.mark.parametrize("block", [tokenout.BLOCK_IDS, 50])
 def test_files(spark, plain, monkeypatch, block):
     monkeypatch.setattr(tokenout, "BLOCK_IDS", block)
