@@ -6,11 +6,18 @@ words on it, hashed words of its text, and a few measures; a bidirectional LSTM
 the vectors of the whole page both ways and labels every leaf as main text or not. The weights
 come from ``htmltrain``, which makes and labels its own pages.
 
+What no browser shows, and the choices and values of forms, is not read (``SILENT``); all else is
+left to the labeller, whose training pages have paragraphs in ``noscript`` and ``object``, formulas
+in sentences, and headers in articles as well as those of sites. ``noscript``, ``object`` and
+``button`` are part of the sentence in a paragraph or heading, and blocks elsewhere.
+
 Defined results: null html counts as empty and gives an empty text, as does a page without main
 text; character references are decoded, white space in a block becomes one space, blocks are
 trimmed and joined by a line feed, empty ones go; line-break elements are white space;
-unclosed tags, comments and scripts run to where a browser would end them or to the end;
-rows that repeat are read each; further columns are ignored.
+unclosed tags, comments and scripts run to where a browser would end them or to the end; a block
+with a score of 0.5 is main text; very long pages are read and labelled whole, in time linear in
+their length; rows that repeat are read each; empty tables give empty results; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -28,10 +35,14 @@ from pyspark.sql import DataFrame
 
 from .common import bounded_batches
 
-#: Elements whose text is not shown, or not as running text.
-SILENT = frozenset("script style noscript template title svg math iframe object textarea select button datalist canvas audio video".split())
+#: Elements whose text no browser shows, and the choices and values of forms.
+SILENT = frozenset("script style template title iframe textarea select datalist".split())
 #: Elements inside a block; all others end it.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math q ruby rt rp s samp small span strike strong sub sup svg time tt u var wbr".split())
+#: Elements that are part of the sentence in one of ``SENTENCES``, and blocks elsewhere.
+SOFT, SENTENCES = frozenset("noscript object button".split()), frozenset("p h1 h2 h3 h4 h5 h6".split())
+#: All that is inside one of these is inline.
+FOREIGN = frozenset(("math", "svg"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Opening one of these ends an open element of the same group.
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -44,7 +55,7 @@ _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""",
 _WORDS = re.compile(r"[a-z]+")
 
 #: Tags with a place of their own in the path vector.
-TAGS = tuple("html body article main section div p h1 h2 h3 h4 ul ol li dl dt dd nav aside header footer form fieldset table tr td th blockquote pre figure figcaption address menu details center hr".split())
+TAGS = tuple("html body article main section div p h1 h2 h3 h4 ul ol li dl dt dd nav aside header footer form fieldset table tr td th blockquote pre figure figcaption address menu details center hr noscript object button video".split())
 PATH, NAMES, WORDS = len(TAGS) + 8, 96, 32
 MEASURES = 10
 SIZE = 2 * PATH + NAMES + WORDS + MEASURES
@@ -81,11 +92,19 @@ def leaves(html: str | None) -> list[Leaf]:
         parts.clear()
         linked = 0
 
+    open_ = dict.fromkeys((*FOREIGN, *SENTENCES), 0)  # how many of these are open
+
     def close(at: int) -> None:
         nonlocal links
-        links -= sum(t == "a" for t, _ in stack[at:])
+        for t, _ in stack[at:]:
+            links -= t == "a"
+            if t in open_:
+                open_[t] -= 1
         del stack[at:]
 
+    def inline(tag: str) -> bool:
+        return tag in INLINE or any(map(open_.get, FOREIGN)) or (tag in SOFT and any(map(open_.get, SENTENCES)))
+
     data, at = html or "", 0
     for m in iter(lambda: _TOKEN.match(data, at), None):
         at = m.end()
@@ -98,18 +117,17 @@ def leaves(html: str | None) -> list[Leaf]:
             continue
         tag = tag.lower()
         if m[1]:
-            if tag not in INLINE:
+            at_ = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            sentence = tag in SOFT and at_ is not None and any(t in SENTENCES for t, _ in stack[:at_])
+            if not (tag in INLINE or sentence or any(map(open_.get, FOREIGN))):
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-                if tag in INLINE and stack[i][0] not in INLINE:
-                    break
+            # an inline element does not end over a block that was opened in it
+            if at_ is not None and (tag not in INLINE or tag in FOREIGN or all(t in INLINE for t, _ in stack[at_:])):
+                close(at_)
             continue
         if tag in SILENT:
             # all to the end tag is not text; without one, to the end of the page
-            if tag in ("script", "style", "title", "textarea", "noscript", "iframe", "template"):
+            if tag in ("script", "style", "title", "textarea", "iframe", "template"):
                 end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(data, at)
                 at = end.end() if end else len(data)
             elif not m[3].rstrip(">").endswith("/"):
@@ -119,7 +137,7 @@ def leaves(html: str | None) -> list[Leaf]:
         if tag == "br":
             parts.append(" ")
             continue
-        if tag not in INLINE:
+        if not inline(tag):
             flush()
             group = ENDS.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
             for i in range(len(stack) - 1, -1, -1):
@@ -130,8 +148,11 @@ def leaves(html: str | None) -> list[Leaf]:
                     break
         if tag not in VOID:
             names = tuple(w for x in _NAMES.findall(m[3]) for w in _WORDS.findall(x.lower())) if m[3] != ">" else ()
-            stack.append((tag, names))
-            links += tag == "a"
+            if not m[3].endswith("/>") or not any(map(open_.get, FOREIGN)):  # there an element can end itself
+                stack.append((tag, names))
+                links += tag == "a"
+                if tag in open_:
+                    open_[tag] += 1
     flush()
     return out
 

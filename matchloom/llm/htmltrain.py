@@ -1,8 +1,9 @@
 """Training of the block labeller: ``python -m matchloom.llm.htmltrain`` writes html_lstm.npz.
 
-Pages are made from a random grammar of layouts that knows which blocks are main text. Words
-are random letters (so that no language is learned), apart from the words that menus, notices,
-forms, comments and footers tend to use.
+Pages are made from a random grammar of ``LAYOUTS`` that knows which blocks are main text: elements
+and names that tell what they hold, names alone, neither, and tables. Words are random letters
+(so that no language is learned), apart from the words that menus, notices, forms, comments and
+footers tend to use.
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ from pathlib import Path
 
 import numpy as np
 
-from .htmlmain import HIDDEN, SIZE, Labeller, _sigmoid, leaves, vectors
+from .htmlmain import HIDDEN, SIZE, Labeller, Leaf, _sigmoid, leaves, vectors
 
-PAGES, EPOCHS, BATCH, SEED = 8000, 8, 48, 5
+PAGES, EPOCHS, BATCH, SEED = 12_000, 8, 48, 5
+LAYOUTS = ("told", "plain", "table")
 MARK = "\x02"  # starts each block of main text in a made page
 
 MENU = "home about contact news products services login register search help faq blog shop archive".split()
@@ -25,6 +27,7 @@ CONTENT = "content main-content post entry article story article-body entry-cont
 SIDE = "sidebar widget related aside recommended popular tags recent rail".split()
 AD = "ad ads advert banner promo sponsor advertisement".split()
 TALKS = "comments comment-list discussion replies respond disqus".split()
+SCRIPTS = "please enable javascript browser does not support video audio view this page your".split()
 WARN = "cookie-notice notice banner alert consent gdpr newsletter popup".split()
 
 
@@ -79,6 +82,8 @@ class Maker:
         text = " ".join(self.sentence(1, 30) for _ in range(n)) if r.random() < 0.75 else self.odd()
         if r.random() < 0.2:
             text += f' <a href="/x">{self.words(1, 4)}</a> ' + self.sentence(1, 9)
+        if r.random() < 0.05:
+            text += r.choice((" <math><mi>x</mi><mo>=</mo><mrow><mn>2</mn></mrow></math> ", ' <svg><path d="M0"/></svg> ', "<noscript><img src=x></noscript> ")) + self.sentence(1, 9)
         if r.random() < 0.15:
             text = f"<b>{text}" + r.choice(("</b>", "", "<br>", "</b><br>"))
         return f"<p>{MARK}{text}" + self.close("p")
@@ -87,10 +92,21 @@ class Maker:
         r, out = self.r, []
         if r.random() < 0.8:
             h = r.choice(("h1", "h1", "h2"))
-            out.append(f"<{h}>{MARK}{self.words(2, 14)}</{h}>")
-        for _ in range(r.choice((0, 1, 1, 2, 3, 5, 8, 14))):
+            title = f"<{h}>{MARK}{self.words(2, 14)}</{h}>"
+            if r.random() < 0.3:
+                deck = f"<p>{MARK}{self.sentence()}</p>" if r.random() < 0.3 else ""
+                title = f"<header{r.choice(('', self.name(['entry-header', 'article-header', 'post-header', 'header'])))}>{title}{deck}</header>"
+            out.append(title)
+        # a long one now and then, and paragraphs alike, so that the states stay put in them
+        n = r.choice((0, 1, 1, 2, 3, 5, 8, 14)) if r.random() > 0.03 else r.randint(40, 250)
+        again = self.paragraph() if n > 20 and r.random() < 0.4 else ""
+        for _ in range(n):
             x = r.random()
-            if x < 0.72:
+            if again and x < 0.9:
+                out.append(again)
+            elif x < 0.10:
+                out.append(self.rarer())
+            elif x < 0.72:
                 out.append(self.paragraph())
             elif x < 0.8:
                 out.append(f"<h{(k := r.randint(2, 4))}>{MARK}{self.words(1, 9)}</h{k}>")
@@ -106,8 +122,28 @@ class Maker:
                 out.append(self.junk())
         return "".join(out) or self.paragraph()
 
+    def rarer(self) -> str:
+        """Blocks of an article that few articles have, main text or not."""
+        r, x = self.r, self.r.random()
+        if x < 0.25:
+            return f"<noscript>{self.paragraph()}</p></noscript>"
+        if x < 0.4:
+            return f"<object{r.choice(('', ' data=x'))}>{self.paragraph()}</p></object>"
+        if x < 0.6:
+            return f"<figure><img src=x><figcaption>{MARK}{self.sentence(2, 12)}</figcaption></figure>"
+        if x < 0.7:
+            return "<dl>" + "".join(f"<dt>{MARK}{self.words(1, 4)}<dd>{MARK}{self.sentence()}" for _ in range(r.randint(1, 4))) + "</dl>"
+        if x < 0.85:
+            return f"<button>{self.words(1, 3, TALK + NOTICE)}</button>"
+        if x < 0.93:
+            return f"<video>{self.words(3, 9, SCRIPTS)}</video>"
+        return f"<footer>{self.words(1, 4, TALK + MENU)}</footer>"
+
     def junk(self) -> str:
         r, x = self.r, self.r.random()
+        if r.random() < 0.06:
+            text = self.words(4, 12, SCRIPTS) + "."
+            return f"<noscript>{r.choice((text, f'<p>{text}</p>', f'<div>{text}</div>'))}</noscript>"
         if x < 0.3:
             return f"<div{self.name(AD)}>{self.sentence(2, 20) if r.random() < 0.8 else self.odd()}</div>"
         if x < 0.5:
@@ -128,7 +164,46 @@ class Maker:
         )
         return f"<{t}{self.name(TALKS)}><h3>{self.words(1, 3, TALK)}</h3>{inner}</{t}>"
 
-    def page(self) -> str:
+    def page(self, layout: str | None = None) -> str:
+        layout = layout or self.r.choice(("told", "told", *LAYOUTS))
+        body = {"told": self.told, "plain": self.plain, "table": self.table}[layout]()
+        return f"<!DOCTYPE html><html><head><title>{self.words(2, 9)}</title><style>p{{margin:0}}</style></head><body>{body}" + self.r.choice(("", "</body></html>"))
+
+    def box(self, inner: str) -> str:
+        """A division whose name tells nothing."""
+        name = "".join(self.r.choice("bcdfghklmnprstvwz") for _ in range(self.r.randint(2, 7)))
+        return f"<div{self.r.choice(('', f' class={name}', f' id={name}'))}>{inner}</div>"
+
+    def talk(self) -> str:
+        r = self.r
+        says = "".join(self.box(f"<p>{self.words(1, 4, TALK)}</p><p>{self.sentence()}</p><p>{self.words(1, 2, TALK)}</p>") for _ in range(r.randint(1, 5)))
+        return self.box(f"<h3>{r.choice(('Comments', 'Leave a reply', 'Discussion', '3 comments', 'Reader comments'))}</h3>{says}")
+
+    def plain(self) -> str:
+        r, out = self.r, []
+        if r.random() < 0.6:
+            out.append(self.box(r.choice((self.words(1, 4), f"<p>{self.words(1, 4)}</p>"))))
+        out.append(self.box(self.links(2, 10, MENU)))
+        if r.random() < 0.3:
+            out.append(self.box(f"<p>{self.words(4, 20, NOTICE)}.</p>"))
+        # the labeller cannot know a text of a line or two that nothing tells from the rest
+        out.append(self.box(f"<h1>{MARK}{self.words(2, 12)}</h1>" + "".join(self.paragraph() + "</p>" for _ in range(r.randint(2, 6))) + self.article()))
+        if r.random() < 0.4:
+            out.append(self.talk())
+        if r.random() < 0.5:
+            out.append(self.box(f"<h3>{self.words(1, 3, SIDE + MENU)}</h3>{self.links(2, 8, MENU)}"))
+        out.append(self.box(f"&copy; {self.words(1, 12, FOOT)}"))
+        return "".join(out)
+
+    def table(self) -> str:
+        r = self.r
+        head = f"<tr><td>{self.words(1, 4)}</td></tr>" if r.random() < 0.6 else ""
+        side = f"<td>{self.links(3, 10, MENU)}</td>"
+        main = f"<td><h1>{MARK}{self.words(2, 12)}</h1>" + "".join(self.paragraph() + "</p>" for _ in range(r.randint(2, 6))) + "</td>"
+        row = side + main if r.random() < 0.7 else main + side
+        return f"<table>{head}<tr>{row}</tr><tr><td>&copy; {self.words(1, 12, FOOT)}</td></tr></table>"
+
+    def told(self) -> str:
         r, out = self.r, []
         if r.random() < 0.5:
             out.append(f"<header{r.choice(('', self.name(['header', 'masthead', 'top'])))}><{(h := r.choice(('h1', 'p', 'div')))}>{self.words(1, 6)}</{h}></header>")
@@ -149,17 +224,23 @@ class Maker:
         if r.random() < 0.85:
             t = r.choice(("footer", "footer", "div"))
             out.append(f"<{t}{self.name(['footer', 'bottom', 'colophon']) if t == 'div' or r.random() < 0.3 else ''}>{r.choice(('&copy; ', '', '<p>'))}{self.words(1, 15, FOOT)} &middot; {self.sentence() if r.random() < 0.8 else self.odd()}</{t}>")
-        return f"<!DOCTYPE html><html><head><title>{self.words(2, 9)}</title><style>p{{margin:0}}</style></head><body>" + "".join(out) + r.choice(("", "</body></html>"))
+        return "".join(out)
 
 
-def made(n: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def labelled(html: str) -> tuple[list[Leaf], np.ndarray]:
+    """The leaves of a made page, without MARK, and which are main text."""
+    page = leaves(html)
+    labels = np.array([MARK in leaf.text for leaf in page], np.float32)
+    for leaf in page:
+        leaf.text = leaf.text.replace(MARK, "").strip() or "x"
+    return page, labels
+
+
+def made(n: int, seed: int, layout: str | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
     """Vectors and labels of the leaves of n pages."""
     maker, out = Maker(seed), []
     while len(out) < n:
-        page = leaves(maker.page())
-        labels = np.array([MARK in leaf.text for leaf in page], np.float32)
-        for leaf in page:
-            leaf.text = leaf.text.replace(MARK, "").strip() or "x"
+        page, labels = labelled(maker.page(layout))
         if page:
             out.append((vectors(page), labels))
     return out
@@ -253,7 +334,21 @@ def accuracy(model: Labeller, pages: int, seed: int) -> float:
     return float(np.mean(right))
 
 
+def precision_and_recall(model: Labeller, layout: str, pages: int, seed: int) -> tuple[float, float]:
+    """Of the characters taken as main text on a layout's pages, and of those that are."""
+    maker, right, taken, wanted = Maker(seed), 0.0, 0.0, 0.0
+    for _ in range(pages):
+        page, labels = labelled(maker.page(layout))
+        size = np.array([len(leaf.text) for leaf in page])
+        (score,) = model.scores([vectors(page)])
+        right += size[(score >= 0.5) & (labels > 0.5)].sum()
+        taken += size[score >= 0.5].sum()
+        wanted += size[labels > 0.5].sum()
+    return right / max(taken, 1), right / max(wanted, 1)
+
+
 if __name__ == "__main__":
     trained = train()
-    print(f"accuracy on pages not trained on: {accuracy(trained, 500, SEED + 1):.4f}")
+    for layout in LAYOUTS:
+        print(layout, "precision and recall: {:.4f} {:.4f}".format(*precision_and_recall(trained, layout, 300, SEED + 1)))
     np.savez_compressed(Path(__file__).with_name("html_lstm.npz"), w=trained.w.astype(np.float16), v=trained.v.astype(np.float16))

