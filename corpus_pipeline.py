@@ -16,6 +16,7 @@ Null or empty texts go in the first stage; an empty table stays empty through al
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from functools import wraps
 
@@ -25,20 +26,30 @@ from pyspark.sql import functions as F
 from matchloom.llm import langid, mixing, radix_dedup, simhash, spiece
 from matchloom.llm.common import discard, materialize, written_paths
 
-#: Tables that the stage before has left in the shared folder.
-_left: list[str] = []
+#: Per thread, so that runs at the same time keep apart: tables that each stage has left in the
+#: shared folder, by the stage's place.
+_run = threading.local()
+
+
+def _left() -> dict[int, list[str]]:
+    if not hasattr(_run, "left"):
+        _run.left = {}
+    return _run.left
 
 
 def _stage(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """A stage that first deletes what the stage before has left: by then that one's rows are
-    written and read again, unless docs still reads its tables."""
+    """A stage that first deletes what the stages before it have left: by then their rows are
+    written and read again, unless docs still reads the tables."""
 
     @wraps(stage)
     def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        discard(spark, _left, docs)
+        place = [name for name, _ in STAGES].index(stage.__name__)
+        for before, paths in _left().items():
+            if before < place:
+                discard(spark, paths, docs)
         with written_paths() as paths:
             out = stage(spark, docs, sf_dir)
-        _left.extend(paths)
+        _left().setdefault(place, []).extend(paths)
         return out
 
     return staged

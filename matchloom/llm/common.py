@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
@@ -16,26 +17,29 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` where the cluster
-    names one; a temporary folder of our own only where nothing is set (tests, local mode)."""
+    names one, else a folder of the warehouse; a temporary folder of our own only in local mode,
+    where driver and executors are one process."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="matchloom-"))
+        own = tempfile.mkdtemp(prefix="matchloom-") if sc.master.split("[")[0] == "local" else spark.conf.get("spark.sql.warehouse.dir") + "/matchloom-checkpoints"
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
     return sc.getCheckpointDir()
 
 
-#: Paths written by ``materialize``, for callers that ask for them.
-_listeners: list[list[str]] = []
+#: Per thread: lists for the paths written by ``materialize``, of callers that ask for them.
+_asked = threading.local()
 
 
 @contextmanager
 def written_paths() -> Iterator[list[str]]:
     """Lists the paths that ``materialize`` writes meanwhile."""
     paths: list[str] = []
-    _listeners.append(paths)
+    before = getattr(_asked, "lists", [])
+    _asked.lists = [*before, paths]
     try:
         yield paths
     finally:
-        _listeners.remove(paths)
+        _asked.lists = before
 
 
 def discard(spark: SparkSession, paths: list[str], still_used: DataFrame) -> None:
@@ -57,7 +61,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    for paths in _listeners:
+    for paths in getattr(_asked, "lists", []):
         paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

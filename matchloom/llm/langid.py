@@ -6,12 +6,15 @@ share of the context's counts, and what the context has not seen shares the esca
 (distinct bytes over counts plus distinct bytes) by the next shorter context without the bytes
 already seen. A text's code length under a language is the sum over its bytes; the shortest
 names the language. As the statistics are frozen, all probabilities of a context are worked out
-once, and texts are scored by table look-up, in exact sums.
+once, and texts are scored by table look-up: a byte's code length is kept to 24 bits, and a text's
+are summed in double precision.
 
 Texts are lower-cased, and runs of ASCII characters other than letters become one space.
 
-Training reads a bounded sample: per language whole texts, in the order of a hash of doc_id,
-up to about ``TRAIN_BYTES`` bytes, of every language; contexts seen once are left to shorter ones
+Training reads a bounded sample of labelled rows: per language whole texts, in the order of a hash
+of doc_id, of ``TRAIN_ROWS`` rows at most and up to about ``TRAIN_BYTES`` bytes, of every language
+(that many rows hold the bytes if texts have 300 on average; shorter ones make a smaller sample);
+contexts seen once are left to shorter ones
 and at most ``MAX_CONTEXTS`` are kept, the most frequent first. More than ``SHARD_LANGS`` languages
 are dealt by name to models of that many, which share the alphabet and the number of contexts.
 Only text and lang of rows that ``held_out`` does not mark are used; no prediction reads lang,
@@ -19,8 +22,9 @@ source or doc_id.
 
 Defined results: ``und`` with score 0 for a null text, one without letters, or when nothing
 could be learned; equal code lengths go to the first language by name; a null doc_id counts as
-not held out; rows that repeat are predicted each; further columns are ignored by the report and
-kept by ``keep_known``. ``score`` is the posterior of the predicted language under equal priors,
+not held out; very long texts are scored whole, one at a time; rows that repeat are predicted each;
+empty tables give empty results; further columns are ignored by the report and kept by
+``keep_known``. ``score`` is the posterior of the predicted language under equal priors,
 with the text's evidence scaled to that of ``EVIDENCE`` bytes where it has more.
 """
 
@@ -37,7 +41,7 @@ from pyspark.sql import types as T
 from .common import bounded_batches
 
 ORDER = 4
-TRAIN_BYTES = 300_000
+TRAIN_BYTES, TRAIN_ROWS = 300_000, 1024
 SHARD_LANGS = 32
 MAX_CONTEXTS = 1 << 16
 EVIDENCE = 64
@@ -188,9 +192,9 @@ def sample(docs: DataFrame) -> dict[str, list[bytes]]:
     # rows that are likely to be wanted, then the first of them up to the bound
     sizes = docs.sparkSession.createDataFrame(langs, "lang string, n long")
     hash_ = F.xxhash64(F.lit(SEED), "doc_id")
-    few = rows.join(F.broadcast(sizes), "lang").where(F.pmod(hash_, F.lit(1 << 30)) / float(1 << 30) < 1024.0 / F.col("n"))
+    few = rows.join(F.broadcast(sizes), "lang").where(F.pmod(hash_, F.lit(1 << 30)) / float(1 << 30) < F.lit(float(TRAIN_ROWS)) / F.col("n"))
     order = Window.partitionBy("lang").orderBy("hash_", "text")
-    few = few.select("lang", "text", hash_.alias("hash_")).withColumn("nth", F.row_number().over(order)).where("nth <= 1024")
+    few = few.select("lang", "text", hash_.alias("hash_")).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= TRAIN_ROWS)
     before = F.coalesce(F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     out: dict[str, list[bytes]] = {}
     for r in few.withColumn("before", before).where(F.col("before") < TRAIN_BYTES).orderBy("lang", "nth").select("lang", "text").collect():

@@ -9,7 +9,8 @@ the words taken come near the target.
 
 Defined results: null text has size 0; null source is a source of its own, last in order;
 a source of size 0 has target 0 and nothing is taken; rows that repeat a doc_id are rows of
-their own; empty tables give empty results; further columns are ignored by ``mix_report`` and
+their own, and of equal size and doc_id in any order (they have as many words); very long texts
+are counted whole; empty tables give empty results; further columns are ignored by ``mix_report`` and
 kept by ``mix``.
 """
 

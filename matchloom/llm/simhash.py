@@ -156,6 +156,9 @@ def _narrower(mask: int) -> list[int]:
 def _split(rows: DataFrame, masks: list[int]) -> DataFrame:
     """``rows`` (mask, fp) of shards that fix the bits of one of ``masks`` to the shards of their
     further blocks: (mask, value, fp)."""
+    if len(masks) == 1:
+        narrower = rows.select("fp", F.explode(F.array(*[F.lit(_signed(x)).cast("long") for x in _narrower(masks[0])])).alias("mask"))
+        return narrower.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value"), "fp")
     into = rows.sparkSession.createDataFrame([(_signed(m), [_signed(x) for x in _narrower(m)]) for m in masks], "mask long, into array<bigint>")
     narrower = rows.join(F.broadcast(into), "mask").select("fp", F.explode("into").alias("mask"))  # a row per mask, 729 at most
     return narrower.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value"), "fp")

@@ -7,8 +7,10 @@ no piece goes over a cut between words, or between letters and others (checked a
 pieces), a text's parts are encoded once each and kept in a bounded table. Every text is also
 encoded by the sentencepiece library; ``parity`` says whether both agree.
 
-Defined results: null counts as empty; an empty text has no ids and decodes to itself; repeated
-rows are encoded each; further columns are ignored by ``encode_report`` and kept by ``encode``.
+Defined results: null counts as empty; an empty text has no ids and decodes to itself; a text is
+encoded whole, however long; merges of equal scores follow the model's own order; repeated rows are
+encoded each; empty tables give empty results; further columns are ignored by ``encode_report`` and
+kept by ``encode``.
 """
 
 from __future__ import annotations
@@ -148,7 +150,6 @@ class Codec:
     """Encodes and decodes batches of texts."""
 
     def __init__(self, data: bytes) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         from tokenizers import Tokenizer
 
@@ -164,6 +165,7 @@ class Codec:
         self.split = re.compile(cuts).findall if cuts else lambda t: [t] * bool(t)
 
     def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"  # read at each call; a worker may have run others
         out = []
         for at in range(0, len(parts), BATCH):
             marked = [p.replace(" ", MARK) for p in parts[at : at + BATCH]]

@@ -76,7 +76,6 @@ class Encoder:
     """
 
     def __init__(self, data: bytes, added: bool = False) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(data.decode())
@@ -113,6 +112,7 @@ class Encoder:
         return [got[w] for w in words]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # read at each call; a worker may have run others
         odd = [i for i, t in enumerate(texts) if self.held.search(t)] if self.whole else []
         if not odd:
             return self.table.ids([self.split(t) for t in texts])

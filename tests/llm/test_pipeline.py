@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import threading
 
 import sentencepiece
 from pyspark.sql import functions as F
@@ -64,8 +65,14 @@ def test_stages_delete_only_what_is_not_used(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     exact = cp.exact(spark, docs, "")
     n = exact.count()
-    left = list(cp._left)
+    left = list(cp._left()[1])
     near = cp.near(spark, exact, "")  # reads the tables of the stage before, which is not written
-    assert 0 < near.count() <= n and any(p in cp._left for p in left)
+    assert left and 0 < near.count() <= n and any(p in cp._left()[1] for p in left)
+    again = cp.exact(spark, docs, "")  # no stage before it has left these
+    assert near.count() <= n == again.count()
+    other = threading.Thread(target=lambda: cp.mix(spark, docs, ""))
+    other.start()
+    other.join()
+    assert again.count() == n  # another thread is another run
     cp.mix(spark, docs, "")  # reads none of them
-    assert not any(p in cp._left for p in left)
+    assert not any(p in cp._left()[1] for p in left)
