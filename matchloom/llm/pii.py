@@ -167,8 +167,8 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     have = rows.select("_row", F.explode(_words(text)).alias("term")).join(terms, "term").groupBy("_row").agg(F.collect_set("term").alias("_terms"))
     have = materialize(have, "pii-have")
     base = F.concat(*[F.col(f"_{k}") for k in KINDS])
-    word = find(text, TERM)
-    hit = F.filter(word, lambda x: F.array_contains("_terms", F.lower(x["m"])) & ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    word = find(text, TERM, keep=lambda m: F.array_contains("_terms", F.lower(m)))
+    hit = F.filter(word, lambda x: ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
     out = rows.join(have, "_row", "left").withColumn("_term", F.when(F.col("_terms").isNotNull(), hit).otherwise(F.array().cast(EMPTY)))
     return out.drop("_terms")
 

@@ -25,21 +25,24 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _running(steps: Column, start: Column) -> Column:
-    """Struct (at, out): spans of ``steps`` (g, m: length of the gap, matched text) from ``start`` on."""
+def _running(steps: Column, start: Column, keep: Callable[[Column], Column] | None) -> Column:
+    """Struct (at, out): spans of ``steps`` (g, m: length of the gap, matched text) from ``start`` on,
+    of those whose text ``keep`` holds for."""
     state = F.struct(start.alias("at"), F.array().cast(EMPTY).alias("out"))
 
     def step(a: Column, x: Column) -> Column:
         s, e = a["at"] + x["g"], a["at"] + x["g"] + F.length(x["m"])
-        return F.struct(e.alias("at"), F.concat(a["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))).alias("out"))
+        more = F.concat(a["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"))))
+        return F.struct(e.alias("at"), (more if keep is None else F.when(keep(x["m"]), more).otherwise(a["out"])).alias("out"))
 
     return F.aggregate(steps, state, step)
 
 
-def find(text: Column, pattern: str | Column, where: Column | None = None) -> Column:
+def find(text: Column, pattern: str | Column, where: Column | None = None, keep: Callable[[Column], Column] | None = None) -> Column:
     """All matches of ``pattern`` from the left that do not overlap, in time linear in the text and
-    its matches. ``where`` is a cheap test that texts with a match pass. In a text marked by
-    ``joined`` the matched texts hold the mark.
+    its matches. ``where`` is a cheap test that texts with a match pass; of the matches only those
+    whose text ``keep`` holds for are returned. In a text marked by ``joined`` the matched texts
+    hold the mark.
     """
     regex = F.lit(pattern) if isinstance(pattern, str) else pattern
     found = F.regexp_extract_all(text, regex, F.lit(0))
@@ -55,7 +58,7 @@ def find(text: Column, pattern: str | Column, where: Column | None = None) -> Co
         state = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{EMPTY}>").alias("out"))
 
         def block(a: Column, x: Column) -> Column:
-            return bound(_running(x, a["at"]), lambda r: F.struct(r["at"].alias("at"), F.concat(a["out"], F.array(r["out"])).alias("out")))
+            return bound(_running(x, a["at"], keep), lambda r: F.struct(r["at"].alias("at"), F.concat(a["out"], F.array(r["out"])).alias("out")))
 
         return F.coalesce(F.flatten(F.aggregate(blocks, state, block)["out"]), F.array().cast(EMPTY))
 
