@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -26,10 +27,27 @@ def dense_index(df: DataFrame, key: Sequence[str], by: Sequence[str] = (), name:
     return out.drop("_code", "_bucket", "_start", "_nth")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: that of ``spark.checkpoint.dir``, else one of the
+    warehouse; a temporary folder only in local mode, where all is one process."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        own = tempfile.mkdtemp(prefix="matchloom-") if sc.master.split("[")[0] == "local" else spark.conf.get("spark.sql.warehouse.dir") + "/matchloom-checkpoints"
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
+    return sc.getCheckpointDir()
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that is not in use."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut, in the folder of ``spark.checkpoint.dir``; a temporary one of
-    our own only where that is unset."""
-    spark: SparkSession = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="matchloom-"))
+    """``df`` with its lineage cut, in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def ordered_index(df: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, name): the distinct values of ``key`` with numbers that ascend with them."""
+    return checkpointed(df.select(key).distinct().orderBy(key).withColumn(name, F.monotonically_increasing_id()))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,7 +46,8 @@ def char_ngrams(n: int) -> Tokenizer:
 
 
 def wordpiece(vocabulary: Sequence[str], unknown: str = "[UNK]", mark: str = "##") -> Tokenizer:
-    """Longest-piece-first tokenizer over a given vocabulary, in Arrow batches."""
+    """Longest-piece-first tokenizer over a given vocabulary, in Arrow batches; each word of a batch
+    is cut once."""
     known = frozenset(vocabulary)
     longest = max(map(len, known), default=0)
 
@@ -63,9 +64,11 @@ def wordpiece(vocabulary: Sequence[str], unknown: str = "[UNK]", mark: str = "##
                 return [unknown]
         return out
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def pieces(labels: pd.Series) -> pd.Series:
-        return labels.map(lambda s: [p for w in (s or "").split() for p in word(w)])
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def pieces(labels: pa.Array) -> pa.Array:
+        split = [(s or "").split() for s in labels.to_pylist()]
+        cut = {w: word(w) for w in {w for words in split for w in words}}
+        return pa.array([[p for w in words for p in cut[w]] for words in split], pa.list_(pa.string()))
 
     return pieces
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import checkpointed
 from ..functions.text import clamp
-from .scorers import Scorer
+from .scorers import Scorer, vector_scores
 
 
 def label_pairs(candidates: DataFrame, query: DataFrame, target: DataFrame) -> DataFrame:
@@ -24,6 +25,14 @@ def string_matches(candidates: DataFrame, query: DataFrame, target: DataFrame) -
     return candidates.select("from_iri", "to_iri", "rank").join(shared, ["from_iri", "to_iri"])
 
 
+def _matched_first(candidates: DataFrame, query: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Mappings of score 1 of the classes that share a label with a candidate (the first such), and
+    the candidates of the other classes."""
+    exact = string_matches(candidates, query, target).groupBy("from_iri").agg(F.min_by("to_iri", "rank").alias("to_iri"))
+    found = exact.select("from_iri", "to_iri", F.lit(1.0).alias("score"), F.lit(1).alias("rank"))
+    return found, candidates.join(exact.select("from_iri"), "from_iri", "left_anti")
+
+
 def align(
     candidates: DataFrame, query: DataFrame, target: DataFrame, scorer: Scorer, pooling: str = "mean", nbest: int = 1, string_match: bool = True, clamp_low: bool = True, places: int = 6
 ) -> DataFrame:
@@ -33,17 +42,24 @@ def align(
     candidate alone, with score 1, and is not scored. Else a candidate's score is the ``mean`` or
     ``max`` of its label pairs' scores; ties go to the better candidate rank. Scores of 0 go.
     """
-    found, rest = None, candidates
-    if string_match:
-        exact = string_matches(candidates, query, target).groupBy("from_iri").agg(F.min_by("to_iri", "rank").alias("to_iri"))
-        found = exact.select("from_iri", "to_iri", F.lit(1.0).alias("score"), F.lit(1).alias("rank"))
-        rest = candidates.join(exact.select("from_iri"), "from_iri", "left_anti")
+    found, rest = _matched_first(candidates, query, target) if string_match else (None, candidates)
     pool = {"mean": F.avg, "max": F.max}[pooling]
     scored = scorer(label_pairs(rest, query, target)).groupBy("from_iri", "to_iri", "rank").agg(F.round(pool("score"), places).alias("score"))
     out = best(scored.withColumn("score", clamp(F.col("score"))) if clamp_low else scored, nbest)
     return out if found is None else found.unionByName(out)
 
 
+def align_vectors(
+    candidates: DataFrame, query: DataFrame, target: DataFrame, query_vectors: DataFrame, target_vectors: DataFrame, nbest: int = 1, string_match: bool = True, places: int = 6
+) -> DataFrame:
+    """As ``align``, by the cosine of the classes' vectors (iri, vec) over their candidates; a class
+    without a vector, or with a zero one, matches by labels alone."""
+    found, rest = _matched_first(candidates, query, target) if string_match else (None, candidates)
+    scored = vector_scores(rest.select("from_iri", "to_iri", "rank"), query_vectors, target_vectors)
+    out = best(scored.withColumn("score", F.round(clamp(F.col("score")), places)), nbest)
+    return out if found is None else found.unionByName(out)
+
+
 def best(scored: DataFrame, nbest: int = 1) -> DataFrame:
     """The ``nbest`` of (from_iri, to_iri, rank, score) by score, then rank; scores of 0 go."""
     order = Window.partitionBy("from_iri").orderBy(F.desc("score"), "rank")
@@ -61,7 +77,7 @@ def bidirectional(forward: DataFrame, backward: DataFrame) -> DataFrame:
 def mapping_sets(mappings: DataFrame, keep: int = 1) -> DataFrame:
     """(set_type, src, tgt, score): the best ``keep`` per source class, per target class, and
     their union without repeats. A pair is twice in the union if its scores differ."""
-    sides = []
+    mappings, sides = checkpointed(mappings), []  # read four times, worked out once
     for direction, key, other, name in (("SRC", "src", "tgt", "src"), ("TGT", "tgt", "src", "tgt")):
         order = Window.partitionBy(key).orderBy(F.desc("score"), "rank", other)
         kept = mappings.where(F.col("direction") == direction).withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= keep)

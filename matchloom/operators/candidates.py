@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import ordered_index
 from ..functions.text import Tokenizer, word_tokens
 from .index import label_tokens, postings, token_weights
 
@@ -26,13 +27,18 @@ def select_candidates(
     if max_share is not None:
         weights = weights.join(F.broadcast(n_target), "onto").where(F.col("df") <= F.col("n") * max_share)
     index = index.join(weights.select("onto", "token", "weight"), ["onto", "token"])
+    # the join on tokens and the sums run on numbers in place of IRIs; they ascend with the IRIs, so
+    # that ties go the same way
+    own, other = ordered_index(query, "iri", "_from"), ordered_index(target, "iri", "_to")
     # the query side keeps short tokens: only the index has a cut
-    asked = label_tokens(query, tokenizer).groupBy("iri", "token").agg(F.count("*").alias("qtf"))
-    pairs = asked.select(F.col("iri").alias("from_iri"), "token", "qtf").join(index.select(F.col("iri").alias("to_iri"), "token", "dtf", "weight"), "token")
-    scored = pairs.groupBy("from_iri", "to_iri").agg(F.round(F.sum(F.col("qtf") * F.col("dtf") * F.col("weight")), 6).alias("score"))
-    best = Window.partitionBy("from_iri").orderBy(F.desc("score"), "to_iri")
+    asked = label_tokens(query, tokenizer).groupBy("iri", "token").agg(F.count("*").alias("qtf")).join(own, "iri").select("_from", "token", "qtf")
+    pairs = asked.join(index.join(other, "iri").select("_to", "token", "dtf", "weight"), "token")
+    scored = pairs.groupBy("_from", "_to").agg(F.round(F.sum(F.col("qtf") * F.col("dtf") * F.col("weight")), 6).alias("score"))
+    best = Window.partitionBy("_from").orderBy(F.desc("score"), "_to")
     ranked = scored.withColumn("rank", F.row_number().over(best))
-    return ranked if limit is None else ranked.where(F.col("rank") <= limit)
+    ranked = ranked if limit is None else ranked.where(F.col("rank") <= limit)
+    named = ranked.join(own.withColumnRenamed("iri", "from_iri"), "_from").join(other.withColumnRenamed("iri", "to_iri"), "_to")
+    return named.select("from_iri", "to_iri", "score", "rank")
 
 
 def all_pairs(query: DataFrame, target: DataFrame, most: int) -> DataFrame:

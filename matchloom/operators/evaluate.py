@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import checkpointed
+
 #: (start, end, parts): evenly spaced thresholds of the validation grid, ends included.
 GRID = ((0.0, 0.8, 8), (0.9, 0.97, 7), (0.98, 1.0, 20))
 SET_ORDER = ("combined", "src", "tgt")
@@ -50,7 +52,8 @@ def evaluate(sets: DataFrame, reference: DataFrame, ignored: DataFrame | None =
         F.count(F.when(~F.col("same"), 1)).alias("n"), F.count(F.when(F.col("same"), 1)).alias("n_same"),
         F.count(F.when(~F.col("same") & F.col("skip"), 1)).alias("n_skip"), F.count(F.when(~F.col("same") & ~F.col("skip") & F.col("hit"), 1)).alias("tp"),
     )
-    sets_and_levels = sets.select("set_type").distinct().select("set_type", grid)
+    counted = checkpointed(counted)  # a row per set and score, so that predictions are worked out once
+    sets_and_levels = counted.select("set_type").distinct().select("set_type", grid)
     summed = counted.join(F.broadcast(sets_and_levels), "set_type").where(F.col("score") >= F.col("threshold")).groupBy("set_type", "threshold").agg(  # a few rows
         *[F.sum(c).alias(c) for c in ("n", "n_same", "n_skip", "tp")]
     )
@@ -78,6 +81,14 @@ def long_form(evaluation: DataFrame) -> DataFrame:
     return evaluation.unpivot(["set_type", "threshold"], ["p", "r", "f1"], "metric", "value")
 
 
+def report_lines(evaluation: DataFrame, latex: bool = False) -> DataFrame:
+    """(set_type, threshold, line): rows for a report, plain or as rows of a LaTeX table."""
+    three = lambda c: F.format_string("%.3f", F.col(c))
+    cells = ["set_type", F.format_string("%.6f", F.col("threshold")), F.col("n_mappings").cast("string"), F.col("n_ignored").cast("string"), three("p"), three("r"), three("f1")]
+    line = F.concat(F.concat_ws(" & ", *cells), F.lit(" \\\\")) if latex else F.concat_ws("\t", *cells)
+    return evaluation.select("set_type", "threshold", line.alias("line"))
+
+
 def without_identity(mappings: DataFrame) -> DataFrame:
     """Mappings between different IRIs."""
     return mappings.where(F.col("src") != F.col("tgt"))

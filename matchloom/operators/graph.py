@@ -15,39 +15,46 @@ def named_edges(edges: DataFrame) -> DataFrame:
     return edges.where((F.col("parent") != ROOT) & (F.col("child") != F.col("parent"))).select("child", "parent").distinct()
 
 
-def depth(edges: DataFrame, strategy: str = "max", most: int = 100) -> DataFrame:
+def depth(edges: DataFrame, strategy: str = "max") -> DataFrame:
     """(iri, depth): the longest (``max``) or shortest (``min``) way up to a class without parents.
 
-    Level by level: each round follows the edges from the classes reached last, one row per class
-    and round, so many paths cost no more than few. Cycles end after ``most`` rounds (``max``) or
-    are not reached (``min``)."""
-    e = named_edges(edges)
+    Level by level, each class once: for ``max`` when the last of its parents has been reached, for
+    ``min`` when the first has. Rounds go on until no class is left. A class in or below a cycle has
+    no longest way, which is an error; a cycle that no root leads to has no shortest way either and
+    its classes are not in the result."""
+    e = checkpointed(named_edges(edges))
     nodes = e.select(F.col("child").alias("iri")).unionByName(e.select(F.col("parent").alias("iri"))).distinct()
     roots = nodes.join(e.select(F.col("child").alias("iri")), "iri", "left_anti")
-    level = checkpointed(roots.withColumn("depth", F.lit(0)))
-    known = level
-    for k in range(1, most + 1):
+    known = level = checkpointed(roots.withColumn("depth", F.lit(0)))
+    open_, k = e, 0
+    while not level.isEmpty():
+        k += 1
         step = level.join(e, level["iri"] == e["parent"]).select(F.col("child").alias("iri")).distinct()
         if strategy == "min":
             step = step.join(known, "iri", "left_anti")
+        else:  # edges to parents that are not reached yet
+            open_ = checkpointed(open_.join(level.select(F.col("iri").alias("parent")), "parent", "left_anti"))
+            step = step.join(open_.select(F.col("child").alias("iri")), "iri", "left_anti")
         level = checkpointed(step.withColumn("depth", F.lit(k)))
-        if level.isEmpty():
-            break
         known = known.unionByName(level)
-    pick = {"max": F.max, "min": F.min}[strategy]
-    return known.groupBy("iri").agg(pick("depth").alias("depth"))
+    if strategy == "max" and not open_.isEmpty():
+        raise ValueError("classes in or below a cycle have no longest way up")
+    return known
+
+
+def max_depth(edges: DataFrame) -> DataFrame:
+    """(depth): the largest depth of a hierarchy, one row."""
+    return depth(edges, "max").agg(F.max("depth").alias("depth"))
 
 
-def ancestors(edges: DataFrame, most: int = 100) -> DataFrame:
-    """(iri, ancestor): the strict transitive closure of the edges."""
+def ancestors(edges: DataFrame) -> DataFrame:
+    """(iri, ancestor): the strict transitive closure of the edges, in rounds until none is new; a
+    class in a cycle is above itself."""
     e = checkpointed(named_edges(edges))
-    closure = e.select(F.col("child").alias("iri"), F.col("parent").alias("ancestor"))
-    level = closure
-    for _ in range(most):
+    closure = level = e.select(F.col("child").alias("iri"), F.col("parent").alias("ancestor"))
+    while not level.isEmpty():
         up = level.join(e, level["ancestor"] == e["child"]).select("iri", F.col("parent").alias("ancestor")).distinct()
         level = checkpointed(up.join(closure, ["iri", "ancestor"], "left_anti"))
-        if level.isEmpty():
-            break
         closure = closure.unionByName(level)
     return closure
 
@@ -91,3 +98,8 @@ def extend(mappings: DataFrame, src_edges: DataFrame, tgt_edges: DataFrame, src_
         frontier = kept.select("src", "tgt")
         seen = seen.unionByName(frontier)
     return mappings.sparkSession.createDataFrame([], "src string, tgt string, score double, hop int") if out is None else out
+
+
+def extended(mappings: DataFrame, additions: DataFrame) -> DataFrame:
+    """(src, tgt, score): predictions with what extension adds to them."""
+    return mappings.select("src", "tgt", "score").unionByName(additions.select("src", "tgt", "score"))

@@ -38,13 +38,14 @@ def conflicts(mappings: DataFrame, src_edges: DataFrame, tgt_edges: DataFrame) -
     return disjoint.join(either, ["tgt", "tgt2"], "left_anti")
 
 
-def repair(mappings: DataFrame, src_edges: DataFrame, tgt_edges: DataFrame, most: int = 100) -> DataFrame:
+def repair(mappings: DataFrame, src_edges: DataFrame, tgt_edges: DataFrame) -> DataFrame:
     """``mappings`` (src, tgt, score) without conflicts: each round drops those that are the worst
-    of all they conflict with (lower score, then larger src, tgt), until no conflict is left."""
+    of all they conflict with (lower score, then larger src, tgt), until no conflict is left. The
+    worst of all that are in conflict is always one of them, so the rounds come to an end."""
     left = checkpointed(mappings.select("src", "tgt", "score").groupBy("src", "tgt").agg(F.max("score").alias("score")))
     links = checkpointed(conflicts(left, src_edges, tgt_edges))
     both = links.unionByName(links.select(F.col("src2").alias("src"), F.col("tgt2").alias("tgt"), F.col("src").alias("src2"), F.col("tgt").alias("tgt2"))).distinct()
-    for _ in range(most):
+    while True:
         other = left.select(F.col("src").alias("src2"), F.col("tgt").alias("tgt2"), F.col("score").alias("score2"))
         live = both.join(left, ["src", "tgt"]).join(other, ["src2", "tgt2"])
         worse = (F.col("score") < F.col("score2")) | ((F.col("score") == F.col("score2")) & (F.struct("src", "tgt") > F.struct(F.col("src2"), F.col("tgt2"))))
@@ -52,4 +53,3 @@ def repair(mappings: DataFrame, src_edges: DataFrame, tgt_edges: DataFrame, most
         if worst.isEmpty():
             return left
         left = checkpointed(left.join(worst, ["src", "tgt"], "left_anti"))
-    return left

@@ -98,14 +98,20 @@ place AS (
   UNION ALL SELECT ns || 'r.' || r_regionkey, replace(lower(r_name), '_', ' ') FROM region, (VALUES ('obo:'), ('ordo:')) v(ns))"""
 
 _WAYS = """
-nodes AS (SELECT child AS iri FROM s_edges UNION SELECT parent FROM s_edges),
+edges AS (SELECT 'SRC' AS onto, child, parent FROM s_edges UNION ALL SELECT 'TGT', child, parent FROM t_edges),
+nodes AS (SELECT onto, child AS iri FROM edges UNION SELECT onto, parent FROM edges),
 ways AS (
-  SELECT iri, 0::BIGINT AS depth FROM nodes WHERE iri NOT IN (SELECT child FROM s_edges)
-  UNION ALL SELECT e.child, w.depth + 1 FROM ways w JOIN s_edges e ON e.parent = w.iri WHERE w.depth < 50)"""
+  SELECT onto, iri, 0::BIGINT AS depth FROM nodes WHERE iri NOT IN (SELECT child FROM edges)
+  UNION ALL SELECT e.onto, e.child, w.depth + 1 FROM ways w JOIN edges e ON e.parent = w.iri WHERE w.depth < 50)"""
 
 
 def _depth(f: str) -> str:
-    return _with(_PLACES, _WAYS, recursive=True) + f"SELECT iri, {f}(depth) AS depth FROM ways GROUP BY iri"
+    return _with(_PLACES, _WAYS, recursive=True) + f"SELECT onto, iri, {f}(depth) AS depth FROM ways GROUP BY onto, iri"
+
+
+def _both(name: str, columns: str = "a, b") -> str:
+    """The rows of a corpus part of either side."""
+    return f"SELECT 'SRC' AS onto, {columns} FROM {name}1 UNION ALL SELECT 'TGT', {columns} FROM {name}2"
 
 
 # corpora of one side: synonyms, checked draws, siblings
@@ -192,6 +198,9 @@ ss AS (
   UNION SELECT 'val', * FROM xdata_val UNION SELECT 'test', * FROM xdata_test)""",
 )
 
+#: Mappings of the corpora over mappings, by the names of their parts.
+_MAPS = {"ref": "_full"} | {f"(SELECT src, tgt FROM maps WHERE split = '{s}')": f"_{s}" for s in ("train", "val", "test")}
+
 _HOP = """
   SELECT c.src, c.tgt, c.score FROM (
     SELECT h.src, h.tgt, CASE WHEN a.label = b.label THEN 1.0 ELSE round(1.0 - levenshtein(a.label, b.label) / greatest(length(a.label), length(b.label))::DOUBLE, 6) END AS score FROM (
@@ -208,7 +217,28 @@ s_up(iri, top) AS (SELECT child, child FROM s_edges UNION SELECT parent, parent
 t_up(iri, top) AS (SELECT child, child FROM t_edges UNION SELECT parent, parent FROM t_edges UNION SELECT u.iri, e.parent FROM t_up u JOIN t_edges e ON e.child = u.top),
 under AS (SELECT u.iri, u.top, e.parent FROM t_up u JOIN t_edges e ON e.child = u.top)"""
 
-_S_UP = "s_up(iri, ancestor) AS (SELECT child, parent FROM s_edges UNION SELECT u.iri, e.parent FROM s_up u JOIN s_edges e ON e.child = u.ancestor)"
+_UP = """
+edges AS (SELECT 'SRC' AS onto, child, parent FROM s_edges UNION ALL SELECT 'TGT', child, parent FROM t_edges),
+up(onto, iri, ancestor) AS (SELECT onto, child, parent FROM edges UNION SELECT u.onto, u.iri, e.parent FROM up u JOIN edges e ON e.onto = u.onto AND e.child = u.ancestor)"""
+
+_SCORED = "scored AS (SELECT src, tgt, (900 + ('0x' || substr(md5(concat_ws('|', 'score', src, tgt)), 1, 8))::BIGINT % 100) / 1000::DOUBLE AS score FROM ref)"
+
+# class vectors: words of a label by hash, mean over labels; labels first, then the cosine
+_VECTORS = """
+hashed AS (SELECT iri, label, ('0x' || substr(md5(concat_ws('|', 'word', w)), 1, 8))::BIGINT % 32 AS h FROM (SELECT iri, label, unnest(regexp_extract_all(label, '[a-z0-9#]+')) AS w FROM labels)),
+counted AS (SELECT l.iri, l.label, k, count(h) AS n FROM labels l CROSS JOIN range(32) t(k) LEFT JOIN hashed x ON x.iri = l.iri AND x.label = l.label AND x.h = k GROUP BY ALL),
+vecs AS MATERIALIZED (SELECT iri, list(x ORDER BY k) AS v FROM (SELECT iri, k, avg(n::DOUBLE) AS x FROM counted GROUP BY ALL) GROUP BY iri),
+exact AS (SELECT side, from_iri, arg_min(to_iri, crank) AS to_iri FROM edit WHERE same GROUP BY ALL),
+cosines AS (
+  SELECT side, from_iri, to_iri, crank, list_cosine_similarity(q.v, t.v) AS c FROM edit ANTI JOIN exact USING (side, from_iri) JOIN vecs q ON q.iri = from_iri JOIN vecs t ON t.iri = to_iri),
+vectored AS (
+  SELECT side, from_iri, to_iri, 1.0::DOUBLE AS score, 1 AS rank FROM exact UNION ALL (
+  SELECT side, from_iri, to_iri, round(c, 6) AS score, row_number() OVER (PARTITION BY side, from_iri ORDER BY round(c, 6) DESC, crank)::INT AS rank FROM cosines WHERE c > 0.01 QUALIFY rank <= 3))"""
+
+_REPAIRED = """
+every AS (SELECT DISTINCT src, tgt, score FROM bests),
+sets AS MATERIALIZED (SELECT 'all' AS set_type, src, tgt, score FROM every UNION ALL SELECT 'repaired', src, tgt, score FROM (
+  FROM every QUALIFY row_number() OVER (PARTITION BY src ORDER BY score DESC, tgt) = 1 AND row_number() OVER (PARTITION BY tgt ORDER BY score DESC, src) = 1))"""
 
 SQL = {
     "label_normalize": _with(_BASE, """
@@ -220,7 +250,7 @@ firsts AS (SELECT onto, iri, replace(lower(t), '_', ' ') AS label, min(place) AS
     "text_counts": _with(_BASE) + "SELECT onto, count(DISTINCT iri) AS n_classes, count(*) AS n_labels FROM labels GROUP BY onto",
     "token_index": _with(_BASE, _TOKENS) + "FROM posting",
     "token_index_ngrams": _with(_BASE) + """SELECT onto, substr(label, i, 3) AS token, iri, count(*) AS dtf
-FROM labels, range(1, 200) t(i) WHERE onto = 'SRC' AND i <= greatest(length(label) - 2, 1) AND length(substr(label, i, 3)) > 2 GROUP BY ALL""",
+FROM labels, range(1, 200) t(i) WHERE i <= greatest(length(label) - 2, 1) AND length(substr(label, i, 3)) > 2 GROUP BY ALL""",
     "token_cf": _with(_BASE, _TOKENS) + "SELECT onto, token, cf, df, round(log10(n / cf), 6) AS weight FROM weights JOIN sizes USING (onto)",
     "candidates_idf_topk": _with(*_ALIGN[:3]) + "SELECT from_iri, to_iri, score, rank FROM cands WHERE side = 'SRC'",
     "candidates_df_topk": _with(_BASE, _TOKENS, _candidates("df")) + "SELECT from_iri, to_iri, score, rank FROM cands WHERE side = 'SRC'",
@@ -248,28 +278,51 @@ UNION ALL SELECT set_type, threshold, 'r', r FROM evaluation UNION ALL SELECT se
     "mapping_identity_check": _with(*_ALIGN) + "SELECT count(*) AS n_all, count(*) FILTER (split_part(from_iri, ':', -1) <> split_part(to_iri, ':', -1)) AS n_kept FROM edit WHERE same AND side = 'SRC'",
     "class_depth_max": _depth("max"),
     "class_depth_min": _depth("min"),
-    "class_ancestors": _with(_PLACES, _S_UP, recursive=True) + "FROM s_up",
-    "synonym_pairs": _with(_BASE, _intra("SRC", "1")) + "FROM syn1",
-    "identity_synonyms": _with(_BASE) + "SELECT DISTINCT label AS a, label AS b FROM labels WHERE onto = 'SRC'",
-    "soft_negatives": _with(_BASE, _intra("SRC", "1")) + "FROM soft1",
-    "sibling_hard_negatives": _with(_BASE, _intra("SRC", "1")) + "FROM hard1",
-    "hard_negatives_by_depth": _with(_PLACES, _WAYS, recursive=True) + """SELECT DISTINCT p.label AS a, q.label AS b FROM s_edges x JOIN s_edges y ON x.parent = y.parent AND x.child <> y.child
+    "hierarchy_max_depth": _with(_PLACES, _WAYS, recursive=True) + "SELECT onto, max(depth) AS depth FROM ways GROUP BY onto",
+    "class_ancestors": _with(_PLACES, _UP, recursive=True) + "FROM up",
+    "synonym_pairs": _with(_BASE, _intra("SRC", "1"), _intra("TGT", "2")) + _both("syn"),
+    "identity_synonyms": _with(_BASE) + "SELECT DISTINCT onto, label AS a, label AS b FROM labels",
+    "soft_negatives": _with(_BASE, _intra("SRC", "1"), _intra("TGT", "2")) + _both("soft"),
+    "sibling_hard_negatives": _with(_BASE, _intra("SRC", "1"), _intra("TGT", "2")) + _both("hard"),
+    "hard_negatives_by_depth": _with(_PLACES, _WAYS, recursive=True) + """SELECT DISTINCT x.onto, p.label AS a, q.label AS b
+FROM edges x JOIN edges y ON x.onto = y.onto AND x.parent = y.parent AND x.child <> y.child
 JOIN place p ON p.iri = x.child JOIN place q ON q.iri = y.child WHERE p.label <> q.label AND x.parent IN (SELECT iri FROM ways GROUP BY iri HAVING max(depth) = 0)""",
     "cross_synonyms": _with(_BASE, _cross("ref", "0")) + "FROM xsyn0",
     "cross_soft_negatives": _with(_BASE, _cross("ref", "0")) + "FROM xsoft0",
     "corpus_merge": _with(*_CORPORA) + "FROM merged",
     "corpus_stats": _with(*_CORPORA) + "SELECT kind, count(*) AS n_pairs, count(DISTINCT a) AS n_labels FROM merged GROUP BY kind",
-    "corpus_pairs": _with(_BASE, _intra("SRC", "1")) + "SELECT DISTINCT a AS sent1, b AS sent2, (kind = 'synonym')::INT AS label FROM corpus1",
+    "corpus_pairs": _with(_BASE, _intra("SRC", "1"), _intra("TGT", "2")) + "SELECT DISTINCT onto, a AS sent1, b AS sent2, (kind = 'synonym')::INT AS label FROM (" + _both("corpus", "a, b, kind") + ")",
+    "label_pairs_tsv": _with(_BASE, _intra("SRC", "1"), _intra("TGT", "2")) + "SELECT a AS sent1, b AS sent2, positive::INT AS label FROM (SELECT DISTINCT onto, a, b, kind = 'synonym' AS positive FROM (" + _both("corpus", "a, b, kind") + "))",
+    "corpora_stats": _with(*_CORPORA, _SPLIT, *[_cross(m, k) for m, k in _MAPS.items()]) + """SELECT corpus, kind, count(*) AS n_pairs, count(DISTINCT a) AS n_labels FROM (
+  SELECT 'src' AS corpus, a, b, kind FROM corpus1 UNION ALL SELECT 'tgt', a, b, kind FROM corpus2 UNION ALL SELECT 'merged', a, b, kind FROM merged"""
+    + "".join(f" UNION ALL SELECT '{k[1:]}', a, b, 'synonym' FROM xsyn{k} UNION ALL SELECT '{k[1:]}', a, b, 'soft' FROM xsoft{k}" for k in _MAPS.values()) + ") GROUP BY ALL",
     "finetune_us": _with(*_US) + "FROM us",
     "finetune_ss": _with(*_SS) + "FROM ss",
-    "finetune_conflicts": _with(*_US) + "SELECT split, sent1, sent2 FROM us GROUP BY ALL HAVING count(DISTINCT label) > 1",
+    "finetune_conflicts": _with(_BASE, _intra("SRC", "1"), _intra("TGT", "2")) + """SELECT 'SRC' AS onto, 'all' AS split, a AS sent1, b AS sent2 FROM syn1 JOIN sib1 USING (a, b)
+UNION ALL SELECT 'TGT', 'all', a, b FROM syn2 JOIN sib2 USING (a, b)""",
     "embed_class_mean": "SELECT label, (pos - 1)::INT AS pos, round(avg(embedding[pos]::DOUBLE), 6) AS x FROM embeddings, range(1, 65) t(pos) GROUP BY ALL",
-    "embed_cosine_topk": """SELECT s.vec_id AS from_iri, t.vec_id AS to_iri, round(list_cosine_similarity(s.embedding::DOUBLE[], t.embedding::DOUBLE[]), 6) AS score,
-  row_number() OVER (PARTITION BY s.vec_id ORDER BY score DESC, t.vec_id)::INT AS rank
-FROM embeddings s JOIN embeddings t ON s.label = t.label AND s.vec_id % 2 = 0 AND t.vec_id % 2 = 1
-WHERE round(list_cosine_similarity(s.embedding::DOUBLE[], t.embedding::DOUBLE[]), 6) > 0 QUALIFY rank <= 3""",
+    "embed_cosine_topk": """WITH means AS (
+  SELECT label, list(x ORDER BY pos) AS v FROM (SELECT label, pos, avg(embedding[pos]::DOUBLE) AS x FROM embeddings, range(1, 65) t(pos) GROUP BY ALL) GROUP BY label)
+SELECT vec_id AS from_iri, m.label AS to_iri, round(list_cosine_similarity(embedding::DOUBLE[], m.v), 6) AS score, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, m.label)::INT AS rank
+FROM embeddings CROSS JOIN means m WHERE round(list_cosine_similarity(embedding::DOUBLE[], m.v), 6) > 0 QUALIFY rank <= 3""",
+    "align_embedding": _with(*_ALIGN, _VECTORS) + """SELECT side AS direction, CASE side WHEN 'SRC' THEN from_iri ELSE to_iri END AS src, CASE side WHEN 'SRC' THEN to_iri ELSE from_iri END AS tgt, score, rank FROM vectored""",
     "extend_one_hop": _with(_PLACES, _SEEDS) + f"SELECT DISTINCT * FROM ({_HOP.format('seeds')}) ANTI JOIN seeds USING (src, tgt)",
     "extend_fixpoint": _with(_PLACES, _SEEDS, f"ext(src, tgt, score) AS (SELECT * FROM seeds UNION {_HOP.format('ext')})", recursive=True) + "FROM ext ANTI JOIN seeds USING (src, tgt)",
+    "extended_set": _with(_PLACES, _SEEDS, f"ext(src, tgt, score) AS (SELECT * FROM seeds UNION {_HOP.format('ext')})", recursive=True)
+    + "SELECT src, tgt, score FROM seeds UNION ALL (FROM ext ANTI JOIN seeds USING (src, tgt))",
+    "eval_repaired": _with(
+        *_ALIGN, _REPAIRED, _SPLIT,
+        _evaluation("(SELECT src, tgt FROM maps WHERE split = 'test')", "(FROM ign UNION ALL SELECT src, tgt FROM maps WHERE split <> 'test')", _AT, "ss"),
+        _evaluation("ref", "(FROM ign UNION ALL SELECT src, tgt FROM maps WHERE split = 'val')", _AT, "us"),
+    ) + "SELECT *, 'ss' AS setting FROM ss UNION ALL SELECT *, 'us' FROM us",
+    "eval_report": _with(*_ALIGN, _SETS, _evaluation("ref", "ign", _AT)) + """SELECT set_type, threshold,
+  concat_ws(' & ', set_type, format('{:.6f}', threshold), n_mappings, n_ignored, format('{:.3f}', p), format('{:.3f}', r), format('{:.3f}', f1)) || ' \\\\' AS line FROM evaluation""",
+    "mapping_tsv_round_trip": _with(_BASE, _SCORED) + "FROM scored WHERE score >= 0.95",
+    "mapping_rdf_round_trip": _with(_BASE, _SCORED) + "SELECT src, tgt, score, '=' AS relation, true AS legal FROM scored",
+    "mapping_log_best": _with(_BASE, _SCORED) + """SELECT 'SRC' AS direction, src, tgt, score, 1 AS rank FROM scored QUALIFY row_number() OVER (PARTITION BY src ORDER BY score DESC, tgt) = 1
+UNION ALL SELECT 'TGT', src, tgt, score, 1 FROM scored QUALIFY row_number() OVER (PARTITION BY tgt ORDER BY score DESC, src) = 1""",
+    "mapping_repaired_tsv": _with(_BASE, _SCORED) + "FROM scored",
+    "bundle_index": _with(_BASE, _TOKENS) + "FROM posting",
     "repair_one_to_one": _with(*_ALIGN) + """SELECT src, tgt, score FROM (SELECT DISTINCT src, tgt, score FROM bests)
 QUALIFY row_number() OVER (PARTITION BY src ORDER BY score DESC, tgt) = 1 AND row_number() OVER (PARTITION BY tgt ORDER BY score DESC, src) = 1""",
     "repair_conflicts": _with(_PLACES, _CONFLICTS, recursive=True) + """SELECT DISTINCT x.src, x.tgt, y.src AS src2, y.tgt AS tgt2

@@ -7,22 +7,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.tables import checkpointed
-from ..functions.text import abbreviate, char_ngrams, cosine, expand, fold_labels
+from ..functions.tables import checkpointed, new_path
+from ..functions.text import abbreviate, char_ngrams, expand, fold_labels, hash_int
 from ..operators import align as al
 from ..operators import corpora as co
 from ..operators import evaluate as ev
 from ..operators import graph as gr
 from ..operators import repair as rp
 from ..operators import scorers as sc
-from ..operators.candidates import select_candidates
+from ..operators.candidates import all_pairs, select_candidates
 from ..operators.index import postings, token_weights
 from ..sources import mappings as io
+from ..sources import ontology as on
+from ..sources.config import Settings
+from . import corpora as cp
 from . import fixtures as fx
+from . import run as rn
 
 LIMIT = 10
 KEEP = 0.94
 SOFT = 4
+SIDES = ("SRC", "TGT")
+
+
+def _sides(of: Callable[[str], DataFrame]) -> DataFrame:
+    """A table of either hierarchy, with ``onto``."""
+    one, two = (of(side).withColumn("onto", F.lit(side)) for side in SIDES)
+    return one.unionByName(two)
+
+
+def _labels(spark: SparkSession, d: str) -> DataFrame:
+    return fx.class_labels(spark, d, "SRC").unionByName(fx.class_labels(spark, d, "TGT"))
 
 
 def label_normalize(spark: SparkSession, d: str) -> DataFrame:
@@ -41,7 +56,7 @@ def token_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def token_index_ngrams(spark: SparkSession, d: str) -> DataFrame:
-    return postings(fx.class_labels(spark, d, "SRC"), char_ngrams(3), cut=2)
+    return postings(_labels(spark, d), char_ngrams(3), cut=2)
 
 
 def token_cf(spark: SparkSession, d: str) -> DataFrame:
@@ -119,13 +134,8 @@ def split_mappings(spark: SparkSession, d: str) -> DataFrame:
 def eval_ss_us_ignored(spark: SparkSession, d: str) -> DataFrame:
     """Test scores with the ignore lists of either learning setting: all but the test mappings
     (ss), or the validation mappings only (us)."""
-    parts = checkpointed(split_mappings(spark, d))
-    ref, sets = fx.reference(spark, d), align_combined(spark, d)
-    base = fx.ignored(ref)
-    part = lambda *names: parts.where(F.col("split").isin(*names)).select("src", "tgt")
-    ss = ev.evaluate(sets, part("test"), base.unionByName(part("val", "train")), [0.9])
-    us = ev.evaluate(sets, ref, base.unionByName(part("val")), [0.9])
-    return ss.withColumn("setting", F.lit("ss")).unionByName(us.withColumn("setting", F.lit("us")))
+    ref = fx.reference(spark, d)
+    return rn.by_setting(align_combined(spark, d), ref, checkpointed(split_mappings(spark, d)), fx.ignored(ref), [0.9])
 
 
 def mapping_identity_check(spark: SparkSession, d: str) -> DataFrame:
@@ -135,24 +145,32 @@ def mapping_identity_check(spark: SparkSession, d: str) -> DataFrame:
     return pairs.agg(F.count("*").alias("n_all")).crossJoin(kept)  # one row each
 
 
+def _depth(spark: SparkSession, d: str, strategy: str) -> DataFrame:
+    return _sides(lambda side: gr.depth(fx.place_edges(spark, d, side), strategy)).withColumn("depth", F.col("depth").cast("long"))
+
+
 def class_depth_max(spark: SparkSession, d: str) -> DataFrame:
-    return gr.depth(fx.place_edges(spark, d, "SRC"), "max").withColumn("depth", F.col("depth").cast("long"))
+    return _depth(spark, d, "max")
 
 
 def class_depth_min(spark: SparkSession, d: str) -> DataFrame:
-    return gr.depth(fx.place_edges(spark, d, "SRC"), "min").withColumn("depth", F.col("depth").cast("long"))
+    return _depth(spark, d, "min")
+
+
+def hierarchy_max_depth(spark: SparkSession, d: str) -> DataFrame:
+    return _sides(lambda side: gr.max_depth(fx.place_edges(spark, d, side))).withColumn("depth", F.col("depth").cast("long"))
 
 
 def class_ancestors(spark: SparkSession, d: str) -> DataFrame:
-    return gr.ancestors(fx.place_edges(spark, d, "SRC"))
+    return _sides(lambda side: gr.ancestors(fx.place_edges(spark, d, side)))
 
 
 def synonym_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return co.synonyms(fx.class_labels(spark, d, "SRC"))
+    return _sides(lambda side: co.synonyms(fx.class_labels(spark, d, side)))
 
 
 def identity_synonyms(spark: SparkSession, d: str) -> DataFrame:
-    return co.identity_synonyms(fx.class_labels(spark, d, "SRC"))
+    return _sides(lambda side: co.identity_synonyms(fx.class_labels(spark, d, side)))
 
 
 def _soft(spark: SparkSession, d: str, side: str) -> DataFrame:
@@ -161,7 +179,7 @@ def _soft(spark: SparkSession, d: str, side: str) -> DataFrame:
 
 
 def soft_negatives(spark: SparkSession, d: str) -> DataFrame:
-    return _soft(spark, d, "SRC")
+    return _sides(lambda side: _soft(spark, d, side))
 
 
 def _hard(spark: SparkSession, d: str, side: str) -> DataFrame:
@@ -170,12 +188,15 @@ def _hard(spark: SparkSession, d: str, side: str) -> DataFrame:
 
 
 def sibling_hard_negatives(spark: SparkSession, d: str) -> DataFrame:
-    return _hard(spark, d, "SRC")
+    return _sides(lambda side: _hard(spark, d, side))
 
 
 def hard_negatives_by_depth(spark: SparkSession, d: str) -> DataFrame:
-    labels, edges = fx.place_labels(spark, d, "SRC"), fx.place_edges(spark, d, "SRC")
-    return co.hard_nonsynonyms(labels, edges, co.synonyms(labels), gr.depth(edges, "max"), 0)
+    def hard(side: str) -> DataFrame:
+        labels, edges = fx.place_labels(spark, d, side), fx.place_edges(spark, d, side)
+        return co.hard_nonsynonyms(labels, edges, co.synonyms(labels), gr.depth(edges, "max"), 0)
+
+    return _sides(hard)
 
 
 def cross_synonyms(spark: SparkSession, d: str) -> DataFrame:
@@ -205,7 +226,19 @@ def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corpus_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return co.label_rows(_intra(spark, d, "SRC"))
+    return _sides(lambda side: co.label_rows(_intra(spark, d, side)))
+
+
+def corpora_stats(spark: SparkSession, d: str) -> DataFrame:
+    """All corpora of a task as one call, saved and loaded: (corpus, kind, n_pairs, n_labels)."""
+    labels, edges = ([f(spark, d, side) for side in SIDES] for f in (fx.class_labels, fx.class_edges))
+    folder = new_path(spark, "corpora")
+    cp.save(cp.assemble(*labels, *edges, fx.reference(spark, d), Settings(sample_rate=SOFT)), folder)
+    out = None
+    for name, pairs in cp.load(spark, folder).items():
+        stats = co.corpus_stats(pairs).withColumn("corpus", F.lit(name))
+        out = stats if out is None else out.unionByName(stats)
+    return out
 
 
 def _identity(spark: SparkSession, d: str) -> DataFrame:
@@ -225,7 +258,16 @@ def finetune_ss(spark: SparkSession, d: str) -> DataFrame:
 
 
 def finetune_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    return co.conflicts(finetune_us(spark, d))
+    """Pairs that are both positive and negative in a corpus whose siblings were not checked against
+    the synonyms (labels that classes of one parent share)."""
+
+    def unchecked(side: str) -> DataFrame:
+        labels = fx.class_labels(spark, d, side)
+        known = co.synonyms(labels)
+        siblings = co.hard_nonsynonyms(labels, fx.class_edges(spark, d, side), known.limit(0))
+        return co.conflicts(co.label_rows(co.corpus(known, siblings)).withColumn("split", F.lit("all")))
+
+    return _sides(unchecked)
 
 
 def embed_class_mean(spark: SparkSession, d: str) -> DataFrame:
@@ -234,12 +276,24 @@ def embed_class_mean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def embed_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The three nearest vectors of the other side within a label's group."""
+    """The three nearest class vectors of each vector, by a search over all classes (a bounded
+    number: more pairs than that are an error)."""
     e = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("iri"), F.col("embedding").alias("vec"), "label")
-    s, t = e.where(F.col("iri") % 2 == 0), e.where(F.col("iri") % 2 == 1)
-    pairs = s.select(F.col("iri").alias("from_iri"), F.col("vec").alias("_a"), "label").join(t.select(F.col("iri").alias("to_iri"), F.col("vec").alias("_b"), "label"), "label")
-    scored = pairs.select("from_iri", "to_iri", F.col("to_iri").alias("rank"), F.round(cosine(F.col("_a"), F.col("_b")), 6).alias("score"))
-    return al.best(scored, 3)
+    means = checkpointed(sc.class_vectors(e.select(F.col("label").alias("iri"), "vec")))
+    pairs = all_pairs(e, means, 1 << 33).select("from_iri", "to_iri", "rank")
+    scored = sc.vector_scores(pairs, e.select("iri", "vec"), means)
+    return al.best(scored.withColumn("score", F.round("score", 6)), 3)
+
+
+def _vectors(spark: SparkSession, d: str, side: str) -> DataFrame:
+    return sc.class_vectors(sc.word_vectors(fx.class_labels(spark, d, side)))
+
+
+def align_embedding(spark: SparkSession, d: str) -> DataFrame:
+    """Alignment by class vectors from both sides, labels first, the three best of each class."""
+    labels = [fx.class_labels(spark, d, side) for side in SIDES]
+    settings = Settings(mode="vectors", nbest=3)
+    return rn.align_both(*labels, settings, LIMIT, vectors=tuple(_vectors(spark, d, side) for side in SIDES))
 
 
 def extend_one_hop(spark: SparkSession, d: str) -> DataFrame:
@@ -256,6 +310,13 @@ def _extend(spark: SparkSession, d: str, rounds: int) -> DataFrame:
     return out.select("src", "tgt", "score")
 
 
+def extended_set(spark: SparkSession, d: str) -> DataFrame:
+    """The seeds with what extension adds to them."""
+    side = lambda f: [f(spark, d, x) for x in SIDES]
+    settings = Settings(extension_threshold=KEEP)
+    return rn.run_extension(fx.place_seeds(spark, d), *side(fx.place_edges), *side(fx.place_labels), settings)
+
+
 def repair_one_to_one(spark: SparkSession, d: str) -> DataFrame:
     return rp.one_to_one(align_bidirectional(spark, d).select("src", "tgt", "score").distinct())
 
@@ -268,6 +329,70 @@ def repair_disjoint(spark: SparkSession, d: str) -> DataFrame:
     return rp.repair(fx.place_mappings(spark, d), fx.place_edges(spark, d, "SRC"), fx.place_edges(spark, d, "TGT"))
 
 
+def eval_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Test scores of the mappings before and after one-to-one repair."""
+    before = checkpointed(align_bidirectional(spark, d).select("src", "tgt", "score").distinct())
+    sets = before.withColumn("set_type", F.lit("all")).unionByName(rp.one_to_one(before).withColumn("set_type", F.lit("repaired")))
+    ref = fx.reference(spark, d)
+    return rn.by_setting(sets, ref, checkpointed(split_mappings(spark, d)), fx.ignored(ref), [0.9])
+
+
+def eval_report(spark: SparkSession, d: str) -> DataFrame:
+    return ev.report_lines(eval_prf(spark, d), latex=True)
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    """The reference with scores from 0.9 on."""
+    return fx.reference(spark, d).withColumn("score", (F.lit(900) + hash_int("score", F.col("src"), F.col("tgt")) % 100) / 1000)
+
+
+def mapping_tsv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Mappings written as TSV and read back from a threshold on."""
+    path = new_path(spark, "mappings")
+    io.write_mappings(_scored(spark, d), path)
+    return io.read_mappings(spark, path, 0.95)
+
+
+def mapping_rdf_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Pipe lines to an alignment document and back."""
+    path = new_path(spark, "alignment")
+    io.write_rdf(io.read_pipe(io.pipe_lines(_scored(spark, d))), path)
+    return io.read_rdf(spark, path)
+
+
+def mapping_log_best(spark: SparkSession, d: str) -> DataFrame:
+    """The best mapping of each class of either side, from the lines of a log."""
+    rows = _scored(spark, d)
+    line = lambda side, own, other: F.format_string("[Time: 1.0][PID 1][" + side + ": %s][Class-idx: 1][Mapping: ('%s', '%s', %s)]", own, own, other, F.col("score").cast("string")).alias("value")
+    return io.read_log(rows.select(line("SRC", F.col("src"), F.col("tgt"))).unionByName(rows.select(line("TGT", F.col("tgt"), F.col("src")))))
+
+
+def mapping_repaired_tsv(spark: SparkSession, d: str) -> DataFrame:
+    """A repair tool's output (no header, whole IRIs) read with abbreviated IRIs."""
+    path = new_path(spark, "repaired")
+    _scored(spark, d).select(expand(F.col("src")), expand(F.col("tgt")), "score").write.csv(path, sep="\t", header=False, quote="")
+    return io.read_repaired(spark, path)
+
+
+def label_pairs_tsv(spark: SparkSession, d: str) -> DataFrame:
+    """Label pairs written as TSV and read back."""
+    path = new_path(spark, "pairs")
+    io.write_label_pairs(corpus_pairs(spark, d), path)
+    return spark.read.options(sep="\t", header=True, quote="").schema("sent1 string, sent2 string, label int").csv(path)
+
+
+def bundle_index(spark: SparkSession, d: str) -> DataFrame:
+    """The inverted index of prepared hierarchies, saved and loaded."""
+
+    def loaded(side: str) -> DataFrame:
+        classes = fx.class_labels(spark, d, side).groupBy("onto", "iri").agg(F.sort_array(F.collect_set("label")).alias("labels"))
+        path = new_path(spark, "bundle")
+        on.Bundle.of(classes, fx.class_edges(spark, d, side)).save(path)
+        return on.Bundle.load(spark, path).index
+
+    return loaded("SRC").unionByName(loaded("TGT"))
+
+
 def mapping_pipe_format(spark: SparkSession, d: str) -> DataFrame:
     return io.pipe_lines(fx.reference(spark, d)).select(F.col("value").alias("line"))
 
@@ -283,24 +408,25 @@ def mapping_expand_iri(spark: SparkSession, d: str) -> DataFrame:
 
 def train_lexical_scorer(spark: SparkSession, d: str) -> DataFrame:
     """Accuracy of the learned scorer on the held-out pairs of a corpus."""
-    rows = checkpointed(co.split(co.label_rows(_intra(spark, d, "SRC")), ["sent1", "sent2", "label"], {"train": 0.8, "val": 0.2}))
+    rows = checkpointed(co.split(corpus_pairs(spark, d).drop("onto").distinct(), ["sent1", "sent2", "label"], {"train": 0.8, "val": 0.2}))
     return sc.accuracy(sc.train_scorer(rows.where("split = 'train'")), rows.where("split = 'val'"))
 
 
 def align_learned(spark: SparkSession, d: str) -> DataFrame:
-    """Alignment by the learned scorer, mean over label pairs."""
+    """Alignment by the learned scorer from both sides, mean over label pairs."""
     a, b = fx.class_labels(spark, d, "SRC"), fx.class_labels(spark, d, "TGT")
-    model = sc.train_scorer(co.label_rows(_intra(spark, d, "SRC")))
-    return al.align(_candidates(spark, d), a, b, sc.learned_scorer(model))
+    model = sc.train_scorer(corpus_pairs(spark, d).drop("onto").distinct())
+    return rn.align_both(a, b, Settings(mode="learned"), LIMIT, sc.learned_scorer(model))
 
 
 ALL = (
     label_normalize, text_counts, token_index, token_index_ngrams, token_cf, candidates_idf_topk, candidates_df_topk, string_match_pairs, edit_sim_best, align_nbest,
     align_bidirectional, align_combined, eval_prf, eval_threshold_grid, eval_best_hyper, eval_string_match, eval_long, split_mappings, eval_ss_us_ignored,
-    mapping_identity_check, class_depth_max, class_depth_min, class_ancestors, synonym_pairs, identity_synonyms, soft_negatives, sibling_hard_negatives,
-    hard_negatives_by_depth, cross_synonyms, cross_soft_negatives, corpus_merge, corpus_stats, corpus_pairs, finetune_us, finetune_ss, finetune_conflicts, embed_class_mean,
-    embed_cosine_topk, extend_one_hop, extend_fixpoint, repair_one_to_one, repair_conflicts, repair_disjoint, mapping_pipe_format, mapping_pipe_parse, mapping_expand_iri,
-    train_lexical_scorer, align_learned,
+    mapping_identity_check, class_depth_max, class_depth_min, hierarchy_max_depth, class_ancestors, synonym_pairs, identity_synonyms, soft_negatives,
+    sibling_hard_negatives, hard_negatives_by_depth, cross_synonyms, cross_soft_negatives, corpus_merge, corpus_stats, corpus_pairs, corpora_stats, finetune_us,
+    finetune_ss, finetune_conflicts, embed_class_mean, embed_cosine_topk, align_embedding, extend_one_hop, extend_fixpoint, extended_set, repair_one_to_one,
+    repair_conflicts, repair_disjoint, eval_repaired, eval_report, mapping_tsv_round_trip, mapping_rdf_round_trip, mapping_log_best, mapping_repaired_tsv,
+    label_pairs_tsv, bundle_index, mapping_pipe_format, mapping_pipe_parse, mapping_expand_iri, train_lexical_scorer, align_learned,
 )
 
 

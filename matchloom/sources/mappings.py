@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -73,6 +75,7 @@ def read_pipe(lines: DataFrame) -> DataFrame:
     return parts.select(F.col("p")[0].alias("src"), F.col("p")[1].alias("tgt"), F.col("p")[2].alias("relation"), F.col("p")[3].cast("double").alias("score"))
 
 
+#: The head and foot of an alignment document (fixed values of the format).
 _RDF_HEAD = """<?xml version="1.0" encoding="utf-8"?>
 <rdf:RDF xmlns="http://knowledgeweb.semanticweb.org/heterogeneity/alignment" xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:xsd="http://www.w3.org/2001/XMLSchema#">
 <Alignment><xml>yes</xml><level>0</level><type>??</type>"""
@@ -98,12 +101,18 @@ def write_rdf(mappings: DataFrame, path: str) -> None:
     rows.coalesce(1).sortWithinPartitions("k").select("value").write.mode("overwrite").text(path)
 
 
+def rdf_template(document: str) -> str:
+    """An alignment document without its mappings."""
+    return re.sub(r"\s*<map>.*</map>\s*", "\n", document, flags=re.S)
+
+
 def read_repaired(spark: SparkSession, path: str) -> DataFrame:
     """(src, tgt, score) of a TSV without header and with whole IRIs, abbreviated."""
     rows = spark.read.options(sep="\t", header=False, quote="").schema(MAPPING_TSV).csv(path)
     return rows.select(abbreviate(F.col("Entity1")).alias("src"), abbreviate(F.col("Entity2")).alias("tgt"), F.col("Value").alias("score"))
 
 
+#: A log line's mapping (a fixed pattern of the format).
 _LOG = r"\[(SRC|TGT):.*Mapping: [(\[]'(.+)', '(.+)', (.+)[)\]]\]"
 
 

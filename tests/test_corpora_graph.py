@@ -105,10 +105,16 @@ def test_depth_and_ancestors(spark):
 def test_cycles_end(spark):
     e = edges(spark, ("b", "a"), ("c", "b"), ("b", "c"))
     assert {r["iri"]: r["depth"] for r in gr.depth(e, "min").collect()} == {"a": 0, "b": 1, "c": 2}
-    assert gr.depth(e, "max", most=4).count() == 3
+    with pytest.raises(ValueError, match="cycle"):
+        gr.depth(e, "max")
     assert gr.ancestors(e).count() == 6  # b and c are above themselves
 
 
+def test_long_chains_come_to_their_end(spark):
+    chain = edges(spark, *((f"c{i + 1:03}", f"c{i:03}") for i in range(110)))
+    assert gr.max_depth(chain).first()["depth"] == 110 and gr.ancestors(chain).count() == 110 * 111 // 2
+
+
 def test_extension(spark):
     s, t = edges(spark, ("s2", "s1"), ("s3", "s2"), ("s4", "s3")), edges(spark, ("t2", "t1"), ("t3", "t2"), ("t4", "t3"))
     ls = spark.createDataFrame([("S", f"s{i}", x) for i, x in enumerate(("one", "two", "three", "x"), 1)], "onto string, iri string, label string")
