@@ -41,9 +41,11 @@ def frame(spark, ids, x):
     return spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], SCHEMA).repartition(4)
 
 
-@pytest.mark.parametrize("chunk", [vecdup.CHUNK, 40])
-def test_links_equal_brute_force(spark, monkeypatch, chunk):
-    monkeypatch.setattr(vecdup, "CHUNK", chunk)  # 40: hot buckets go by pairs of chunks
+@pytest.mark.parametrize("sizes", [{}, {"CHUNK": 60, "GROUP": 40}, {"LOCAL": 32, "NARROW": 16, "BLOCK": 16}])
+def test_links_equal_brute_force(spark, monkeypatch, sizes):
+    for name, value in sizes.items():  # hot buckets go by pairs of chunks, large ones by further bits
+        monkeypatch.setattr(vecdup, name, value)
+    vecdup.plan.cache_clear()
     rng = np.random.default_rng(1)
     base = unit(rng, 400)
     near = np.array([at(rng, c, base[i]) for i, c in enumerate(rng.uniform(0.94, 0.97, 300))])
@@ -76,6 +78,37 @@ def test_estimates_are_unbiased_and_bounded():
     assert np.allclose(vecdup.rotation(64).T @ vecdup.rotation(64), np.eye(64))
 
 
+def test_the_plan_holds_its_miss_at_any_size():
+    for n in (10, 80_000, 10**7, 10**9):
+        bits, limit = vecdup.plan(n, 64)
+        assert bits.shape[0] < 60 and n / 2 ** bits.shape[1] <= vecdup.BUCKET and 40 < limit < 60
+    # pairs right at the threshold, drawn as codes: how many meet in no table within the limit
+    rng = np.random.default_rng(6)
+    bits, limit = vecdup.plan(80_000, 64)
+    differ = rng.random((200_000, 256)) < np.arccos(0.95) / np.pi
+    met = np.any([~differ[:, b].any(axis=1) for b in bits], axis=0) & (differ.sum(axis=1) <= limit)
+    assert (~met).mean() < 3 * vecdup.MISS
+
+
+def test_a_dense_bucket_is_tied_without_all_pairs(monkeypatch):
+    rng = np.random.default_rng(7)
+    x = np.array([at(rng, 0.999, v) for v in np.repeat(unit(rng, 1), 8000, axis=0)])
+    bits, limit = vecdup.plan(len(x), 64)
+    code = vecdup.packed(vecdup.encode(x)[2])
+    groups, calls = vecdup.Groups(code, np.zeros((len(x), len(bits)), np.int64), 0, limit, None), []
+    plain = vecdup.Groups._tie
+    monkeypatch.setattr(vecdup.Groups, "_tie", lambda self, a, b: (calls.append(1), plain(self, a, b)))
+    assert (groups.search(64, bits[0]) == 0).all() and len(calls) <= 2 * (len(x) // vecdup.BLOCK + 1)
+
+
+def test_names_that_clash_are_drawn_again(spark, monkeypatch):
+    named = vecdup._named
+    monkeypatch.setattr(vecdup, "_named", lambda rows, seed: named(rows, seed).withColumn("v", F.col("v") % 2) if seed == vecdup.SEED else named(rows, seed))
+    docs = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(-3, 3)], SCHEMA)
+    # -3 and -2 are 8 degrees apart, -2 and -1 18.4: the threshold is at 18.2
+    assert {r["vec_id"]: r["n_links"] for r in vecdup.near_duplicates(docs).collect()} == {-3: 1, -2: 1, -1: 0, 0: 0, 1: 0, 2: 0}
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     odd = [None, [], [0.0] * 3, [nan, 1.0, 1.0], [None, 1.0, 1.0], [inf, 1.0, 1.0], [1.0, 2.0], [1.0, 2.0], [2.0, 4.0], [1.0, 2.0, 0.0], [-0.0, 1.0], [0.0, 1.0], [1e-30, 2e-30]]
