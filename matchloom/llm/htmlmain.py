@@ -92,19 +92,16 @@ def leaves(html: str | None) -> list[Leaf]:
         parts.clear()
         linked = 0
 
-    open_ = dict.fromkeys((*FOREIGN, *SENTENCES), 0)  # how many of these are open
+    foreign = sentences = 0  # how many of these are open
 
     def close(at: int) -> None:
-        nonlocal links
+        nonlocal links, foreign, sentences
         for t, _ in stack[at:]:
             links -= t == "a"
-            if t in open_:
-                open_[t] -= 1
+            foreign -= t in FOREIGN
+            sentences -= t in SENTENCES
         del stack[at:]
 
-    def inline(tag: str) -> bool:
-        return tag in INLINE or any(map(open_.get, FOREIGN)) or (tag in SOFT and any(map(open_.get, SENTENCES)))
-
     data, at = html or "", 0
     for m in iter(lambda: _TOKEN.match(data, at), None):
         at = m.end()
@@ -117,13 +114,13 @@ def leaves(html: str | None) -> list[Leaf]:
             continue
         tag = tag.lower()
         if m[1]:
-            at_ = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            sentence = tag in SOFT and at_ is not None and any(t in SENTENCES for t, _ in stack[:at_])
-            if not (tag in INLINE or sentence or any(map(open_.get, FOREIGN))):
+            place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            sentence = tag in SOFT and sentences and place is not None and any(t in SENTENCES for t, _ in stack[:place])
+            if not (tag in INLINE or sentence or foreign):
                 flush()
             # an inline element does not end over a block that was opened in it
-            if at_ is not None and (tag not in INLINE or tag in FOREIGN or all(t in INLINE for t, _ in stack[at_:])):
-                close(at_)
+            if place is not None and (tag not in INLINE or tag in FOREIGN or all(t in INLINE for t, _ in stack[place:])):
+                close(place)
             continue
         if tag in SILENT:
             # all to the end tag is not text; without one, to the end of the page
@@ -137,7 +134,7 @@ def leaves(html: str | None) -> list[Leaf]:
         if tag == "br":
             parts.append(" ")
             continue
-        if not inline(tag):
+        if not (tag in INLINE or foreign or (tag in SOFT and sentences)):
             flush()
             group = ENDS.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
             for i in range(len(stack) - 1, -1, -1):
@@ -148,11 +145,11 @@ def leaves(html: str | None) -> list[Leaf]:
                     break
         if tag not in VOID:
             names = tuple(w for x in _NAMES.findall(m[3]) for w in _WORDS.findall(x.lower())) if m[3] != ">" else ()
-            if not m[3].endswith("/>") or not any(map(open_.get, FOREIGN)):  # there an element can end itself
+            if not (foreign and m[3].endswith("/>")):  # there an element can end itself
                 stack.append((tag, names))
                 links += tag == "a"
-                if tag in open_:
-                    open_[tag] += 1
+                foreign += tag in FOREIGN
+                sentences += tag in SENTENCES
     flush()
     return out
 

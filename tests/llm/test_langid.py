@@ -2,11 +2,13 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from matchloom.llm import langid
+from matchloom.llm.queries import queries
 
 SF = "/root/testdata/sf0.01"
 
@@ -124,3 +126,30 @@ def test_close_languages_keep_their_documents(spark):
     assert langid.predict_report(docs).first()["score"] < langid.LEAST_SCORE
     assert langid.keep_known(docs).count() == 12
     assert langid.keep_known(docs.withColumn("text", F.lit("日本語")), langid.train(docs)).isEmpty()
+
+
+def test_the_query_equals_brute_force(spark, tmp_path):
+    en, fr = ["the cat sat", "The dog, the end", "on the mat 12", "that hat"], ["le chat est", "la fin, le chien", "sur LE tapis", "des mots"]
+    asked = ["the mat", "le tapis", "cat est", "zz qq", "x", None, "", "12!", "the the the the the the the the the the the the the the the the the the"]
+    docs = [(i, t, lang) for i, (t, lang) in enumerate([*((t, "en") for t in en), *((t, "fr") for t in fr), *((t, None) for t in asked)])]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries()["op2_language_id"](spark, str(tmp_path)).collect()}
+
+    def line(t):
+        words = "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()
+        return f" {' '.join(words)} ".encode() if words else b""
+
+    held = {i for i, _, _ in docs if zlib.crc32(str(i).encode()) % 4 == 2}
+    texts = {n: [line(t) for i, t, lang in docs if lang == n and i not in held] for n in ("en", "fr")}
+    assert all(texts.values()) and held & set(range(8))
+    all_ = texts["en"] + texts["fr"]
+    seen, met = sorted({b for t in all_ for b in t}), Counter(t[i - k : i] for t in all_ for i in range(len(t)) for k in range(1, min(langid.ORDER, i) + 1))
+    symbols, contexts = {b: i + 1 for i, b in enumerate(seen)}, {c for c, n in met.items() if n > 1}
+    for i, t, _ in docs:
+        x, name, score = line(t), "und", 0.0
+        if x:
+            bits = {n: brute_bits(texts[n], symbols, len(seen) + 1, contexts, x, langid.ORDER) for n in texts}
+            name = min(sorted(bits), key=bits.get)
+            score = 1 / sum(2 ** ((bits[name] - b) * min(1, langid.EVIDENCE / len(x))) for b in bits.values())
+        assert (got[i]["lang_pred"], got[i]["held_out"]) == (name, i in held) and math.isclose(got[i]["score"], score, abs_tol=1e-3), (t, got[i], name, score)
+    assert len(got) == len(docs)
