@@ -39,17 +39,16 @@ def conflicts(mappings: DataFrame, src_edges: DataFrame, tgt_edges: DataFrame) -
 
 
 def repair(mappings: DataFrame, src_edges: DataFrame, tgt_edges: DataFrame) -> DataFrame:
-    """``mappings`` (src, tgt, score) without conflicts: each round drops those that are the worst
-    of all they conflict with (lower score, then larger src, tgt), until no conflict is left. The
-    worst of all that are in conflict is always one of them, so the rounds come to an end."""
-    left = checkpointed(mappings.select("src", "tgt", "score").groupBy("src", "tgt").agg(F.max("score").alias("score")))
-    links = checkpointed(conflicts(left, src_edges, tgt_edges))
-    both = links.unionByName(links.select(F.col("src2").alias("src"), F.col("tgt2").alias("tgt"), F.col("src").alias("src2"), F.col("tgt").alias("tgt2"))).distinct()
-    while True:
-        other = left.select(F.col("src").alias("src2"), F.col("tgt").alias("tgt2"), F.col("score").alias("score2"))
-        live = both.join(left, ["src", "tgt"]).join(other, ["src2", "tgt2"])
-        worse = (F.col("score") < F.col("score2")) | ((F.col("score") == F.col("score2")) & (F.struct("src", "tgt") > F.struct(F.col("src2"), F.col("tgt2"))))
-        worst = checkpointed(live.groupBy("src", "tgt").agg(F.min(worse.cast("int")).alias("w")).where("w = 1").select("src", "tgt"))
-        if worst.isEmpty():
-            return left
-        left = checkpointed(left.join(worst, ["src", "tgt"], "left_anti"))
+    """``mappings`` (src, tgt, score) without conflicts: of two in conflict the worse goes (lower
+    score, then larger src, tgt), so that what stays has no better mapping against it.
+
+    This is what dropping the worst of a conflict round by round comes to, in one pass: a mapping
+    outlives all worse ones it conflicts with, so whatever beats it is still there when it goes."""
+    left = checkpointed(mappings.groupBy("src", "tgt").agg(F.max("score").alias("score")))
+    links = conflicts(left, src_edges, tgt_edges)
+    other = left.select(F.col("src").alias("src2"), F.col("tgt").alias("tgt2"), F.col("score").alias("score2"))
+    pairs = links.join(left, ["src", "tgt"]).join(other, ["src2", "tgt2"])
+    one, two = F.struct("src", "tgt"), F.struct(F.col("src2").alias("src"), F.col("tgt2").alias("tgt"))
+    worse = (F.col("score") < F.col("score2")) | ((F.col("score") == F.col("score2")) & (one > two))
+    losers = pairs.select(F.when(worse, one).otherwise(two).alias("x")).select("x.*").distinct()
+    return left.join(losers, ["src", "tgt"], "left_anti")

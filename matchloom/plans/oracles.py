@@ -217,6 +217,12 @@ s_up(iri, top) AS (SELECT child, child FROM s_edges UNION SELECT parent, parent
 t_up(iri, top) AS (SELECT child, child FROM t_edges UNION SELECT parent, parent FROM t_edges UNION SELECT u.iri, e.parent FROM t_up u JOIN t_edges e ON e.child = u.top),
 under AS (SELECT u.iri, u.top, e.parent FROM t_up u JOIN t_edges e ON e.child = u.top)"""
 
+_CONFLICTING = """
+conflicting AS (SELECT DISTINCT x.src, x.tgt, y.src AS src2, y.tgt AS tgt2
+  FROM maps x JOIN s_up u ON u.iri = x.src JOIN maps y ON y.src = u.top AND y.tgt <> x.tgt
+  WHERE EXISTS (FROM under p JOIN under q ON p.parent = q.parent AND p.top <> q.top WHERE p.iri = x.tgt AND q.iri = y.tgt)
+    AND NOT EXISTS (FROM t_up WHERE (iri = x.tgt AND top = y.tgt) OR (iri = y.tgt AND top = x.tgt)))"""
+
 _UP = """
 edges AS (SELECT 'SRC' AS onto, child, parent FROM s_edges UNION ALL SELECT 'TGT', child, parent FROM t_edges),
 up(onto, iri, ancestor) AS (SELECT onto, child, parent FROM edges UNION SELECT u.onto, u.iri, e.parent FROM up u JOIN edges e ON e.onto = u.onto AND e.child = u.ancestor)"""
@@ -325,10 +331,13 @@ UNION ALL SELECT 'TGT', src, tgt, score, 1 FROM scored QUALIFY row_number() OVER
     "bundle_index": _with(_BASE, _TOKENS) + "FROM posting",
     "repair_one_to_one": _with(*_ALIGN) + """SELECT src, tgt, score FROM (SELECT DISTINCT src, tgt, score FROM bests)
 QUALIFY row_number() OVER (PARTITION BY src ORDER BY score DESC, tgt) = 1 AND row_number() OVER (PARTITION BY tgt ORDER BY score DESC, src) = 1""",
-    "repair_conflicts": _with(_PLACES, _CONFLICTS, recursive=True) + """SELECT DISTINCT x.src, x.tgt, y.src AS src2, y.tgt AS tgt2
-FROM maps x JOIN s_up u ON u.iri = x.src JOIN maps y ON y.src = u.top AND y.tgt <> x.tgt
-WHERE EXISTS (FROM under p JOIN under q ON p.parent = q.parent AND p.top <> q.top WHERE p.iri = x.tgt AND q.iri = y.tgt)
-  AND NOT EXISTS (FROM t_up WHERE (iri = x.tgt AND top = y.tgt) OR (iri = y.tgt AND top = x.tgt))""",
+    "repair_conflicts": _with(_PLACES, _CONFLICTS, _CONFLICTING, recursive=True) + "FROM conflicting",
+    "repair_disjoint": _with(_PLACES, _CONFLICTS, _CONFLICTING, recursive=True) + """, scored AS (
+  SELECT DISTINCT src, tgt, (900 + ('0x' || substr(md5(concat_ws('|', 'score', src, tgt)), 1, 8))::BIGINT % 100) / 1000::DOUBLE AS score FROM maps),
+beaten AS (
+  SELECT CASE WHEN a.score < b.score OR (a.score = b.score AND (a.src, a.tgt) > (b.src, b.tgt)) THEN {'src': a.src, 'tgt': a.tgt} ELSE {'src': b.src, 'tgt': b.tgt} END AS x
+  FROM conflicting c JOIN scored a ON a.src = c.src AND a.tgt = c.tgt JOIN scored b ON b.src = c.src2 AND b.tgt = c.tgt2)
+SELECT src, tgt, score FROM scored WHERE {'src': src, 'tgt': tgt} NOT IN (SELECT x FROM beaten)""",
     "mapping_pipe_format": _with(_BASE) + "SELECT replace(src, 'obo:', 'http://purl.obolibrary.org/obo/') || '|' || replace(tgt, 'ordo:', 'http://www.orpha.net/ORDO/') || '|=|1.0|CLS' AS line FROM ref",
     "mapping_pipe_parse": _with(_BASE) + "SELECT src, tgt, '=' AS relation, 1.0::DOUBLE AS score FROM ref",
     "mapping_expand_iri": _with(_BASE) + "SELECT src, replace(src, 'obo:', 'http://purl.obolibrary.org/obo/') AS src_iri, tgt, replace(tgt, 'ordo:', 'http://www.orpha.net/ORDO/') AS tgt_iri FROM ref",

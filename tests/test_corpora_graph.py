@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -139,6 +140,26 @@ def test_repair(spark):
     assert [(r["src"], r["tgt"]) for r in one.collect()] == [("a", "x")]
 
 
+def test_repair_is_what_dropping_the_worst_by_rounds_comes_to(spark):
+    r = random.Random(3)
+    s = edges(spark, *((f"s{i:02}", f"s{r.randrange(i):02}") for i in range(1, 30)))
+    t = edges(spark, *((f"t{i:02}", f"t{r.randrange(i):02}") for i in range(1, 30)))
+    rows = {(f"s{r.randrange(30):02}", f"t{r.randrange(30):02}"): r.randrange(8) / 8 for _ in range(60)}
+    maps = spark.createDataFrame([(*k, x) for k, x in rows.items()], "src string, tgt string, score double")
+    links = {((c["src"], c["tgt"]), (c["src2"], c["tgt2"])) for c in rp.conflicts(maps, s, t).collect()}
+    links |= {(y, x) for x, y in links}
+    key = lambda m: (-rows[m], m)  # noqa: E731  (larger is worse)
+    left = set(rows)
+    while True:
+        live = {m: [y for x, y in links if x == m and y in left] for m in left}
+        worst = {m for m, against in live.items() if against and all(key(m) > key(y) for y in against)}
+        if not worst:
+            break
+        left -= worst
+    assert len(links) > 40 and 0 < len(left) < len(rows)
+    assert {(x["src"], x["tgt"]) for x in rp.repair(maps, s, t).collect()} == left
+
+
 def test_repair_leaves_no_conflict_and_drops_no_free_mapping(spark):
     from matchloom.plans import fixtures as fx
 
