@@ -136,7 +136,7 @@ def disclosing_terms(rows: DataFrame) -> DataFrame:
         words = words.join(F.broadcast(wanted), "term", "left_semi")  # FEW_TERMS words
     words = words.groupBy("term").agg(F.count("*").alias("n_t"))
     held = near.groupBy("entity").agg(F.countDistinct("_row").alias("n_e"), F.countDistinct("window").alias("w_e"))
-    told = met.join(held, "entity").join(words.join(wanted, "term"), "term")
+    told = met.join(held, "entity").join(words, "term")
     ic = F.log2(F.lit(float(n)) / F.col("n_e"))
     pmi = F.log2(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col("n_t").cast("double")))
     chance = F.col("w_e") * F.col("n_t") / F.lit(float(n))
