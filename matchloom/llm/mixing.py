@@ -67,22 +67,29 @@ def _rates(sizes: DataFrame, weights: Sequence[int], max_repeat: int, seed: int)
 
 def mix_plan(docs: DataFrame, keep: Sequence[str] = (), weights: Sequence[int] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = SEED) -> DataFrame:
     """One row per document: ``_doc_id, _source, _size, _source_size, _target, _copies`` and the
-    columns ``keep`` as ``_keep_i``."""
+    columns ``keep`` as ``_keep_i``.
+
+    Words are counted once. Only sizes and ids are dealt by range: ranges of equal rows differ in
+    bytes, as those of large documents come last. The columns ``keep`` meet the copies by row id.
+    """
+    kept = [f"_keep_{i}" for i in range(len(keep))]
     sized = docs.select(
-        *[F.col(f"`{c}`").alias(f"_keep_{i}") for i, c in enumerate(keep)],
+        *[F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept)],
         F.col("doc_id").alias("_doc_id"),
         F.col("source").alias("_source"),
         word_count(F.col("text")).alias("_size"),
+        F.monotonically_increasing_id().alias("_row"),
     )
-    placed = sized.withColumn("_last", F.col("_source").isNull()).withColumn("_key", F.coalesce("_source", F.lit("")))
+    sized = materialize(sized, "mix-sized")
+    placed = sized.drop(*kept).withColumn("_last", F.col("_source").isNull()).withColumn("_key", F.coalesce("_source", F.lit("")))
     ranked = global_rank(placed, ["_last", "_key", "_size", "_doc_id"], "mix-rank")
     rates = _rates(ranked.select("_source", "_size", "_rank"), weights, max_repeat, seed)
     nth = F.col("_rank") - F.col("_first")
     crossed = F.floor(F.col("_offset") + F.col("_rate") * (nth + 1)) - F.floor(F.col("_offset") + F.col("_rate") * nth)
-    return ranked.join(rates, ["_last", "_key"]).select(
-        *[f"_keep_{i}" for i in range(len(keep))],
-        "_doc_id", "_source", "_size", "_source_size", "_target", crossed.cast("long").alias("_copies"),
+    plan = ranked.join(rates, ["_last", "_key"]).select(
+        "_row", "_doc_id", "_source", "_size", "_source_size", "_target", crossed.cast("long").alias("_copies"),
     )
+    return sized.select("_row", *kept).join(plan.hint("merge"), "_row").drop("_row") if keep else plan.drop("_row")
 
 
 def mix_report(docs: DataFrame, **kw) -> DataFrame:
