@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tables import checkpointed
-from ..functions.text import clamp
+from ..functions.text import clamp, cosine
+from .candidates import bounded_product
 from .scorers import Scorer, vector_scores
 
 
@@ -60,6 +61,18 @@ def align_vectors(
     return out if found is None else found.unionByName(out)
 
 
+def nearest(query_vectors: DataFrame, target_vectors: DataFrame, nbest: int, most: int, places: int = 6) -> DataFrame:
+    """(from_iri, to_iri, score, rank): the ``nbest`` targets of each vector (iri, vec) by cosine, by a
+    search over all targets; ties go to the smaller to_iri. More than ``most`` pairs are an error.
+
+    The vectors are at hand where a pair is made, so pairs are scored and cut to ``nbest`` in each
+    task and only those are shuffled."""
+    q = query_vectors.select(F.col("iri").alias("from_iri"), F.col("vec").alias("_q"))
+    t = target_vectors.select(F.col("iri").alias("to_iri"), F.col("vec").alias("_t"))
+    score = F.round(cosine(F.col("_q"), F.col("_t")), places).alias("score")
+    return best(bounded_product(q, t, most).select("from_iri", "to_iri", F.col("to_iri").alias("rank"), score), nbest)
+
+
 def best(scored: DataFrame, nbest: int = 1) -> DataFrame:
     """The ``nbest`` of (from_iri, to_iri, rank, score) by score, then rank; scores of 0 go."""
     order = Window.partitionBy("from_iri").orderBy(F.desc("score"), "rank")

@@ -41,11 +41,15 @@ def select_candidates(
     return named.select("from_iri", "to_iri", "score", "rank")
 
 
-def all_pairs(query: DataFrame, target: DataFrame, most: int) -> DataFrame:
-    """Every target of every class, for hierarchies of up to ``most`` pairs (else an error)."""
-    a, b = query.select("iri").distinct(), target.select("iri").distinct()
-    n = a.count() * b.count()
+def bounded_product(query: DataFrame, target: DataFrame, most: int) -> DataFrame:
+    """Each row of the one table with each of the other, for up to ``most`` pairs (else an error)."""
+    n = query.count() * target.count()
     if n > most:
         raise ValueError(f"{n} pairs are more than {most}: set a candidate limit")
-    pairs = a.select(F.col("iri").alias("from_iri")).crossJoin(b.select(F.col("iri").alias("to_iri")))
-    return pairs.select("*", F.lit(0.0).alias("score"), F.row_number().over(Window.partitionBy("from_iri").orderBy("to_iri")).alias("rank"))
+    return query.crossJoin(target)
+
+
+def all_pairs(query: DataFrame, target: DataFrame, most: int) -> DataFrame:
+    """Every target of every class, for hierarchies of up to ``most`` pairs (else an error)."""
+    a, b = query.select(F.col("iri").alias("from_iri")).distinct(), target.select(F.col("iri").alias("to_iri")).distinct()
+    return bounded_product(a, b, most).select("*", F.lit(0.0).alias("score"), F.row_number().over(Window.partitionBy("from_iri").orderBy("to_iri")).alias("rank"))

@@ -15,7 +15,7 @@ from ..operators import evaluate as ev
 from ..operators import graph as gr
 from ..operators import repair as rp
 from ..operators import scorers as sc
-from ..operators.candidates import all_pairs, select_candidates
+from ..operators.candidates import select_candidates
 from ..operators.index import postings, token_weights
 from ..sources import mappings as io
 from ..sources import ontology as on
@@ -280,9 +280,7 @@ def embed_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     number: more pairs than that are an error)."""
     e = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("iri"), F.col("embedding").alias("vec"), "label")
     means = checkpointed(sc.class_vectors(e.select(F.col("label").alias("iri"), "vec")))
-    pairs = all_pairs(e, means, 1 << 33).select("from_iri", "to_iri", "rank")
-    scored = sc.vector_scores(pairs, e.select("iri", "vec"), means)
-    return al.best(scored.withColumn("score", F.round("score", 6)), 3)
+    return al.nearest(e, means, 3, 1 << 33)
 
 
 def _vectors(spark: SparkSession, d: str, side: str) -> DataFrame:

@@ -112,6 +112,15 @@ def test_class_vectors_and_scores(spark):
     assert vector_scores(c, v, t).first()["score"] == pytest.approx(1.0)
 
 
+def test_nearest_by_a_search_over_all_targets(spark):
+    own = spark.createDataFrame([("q1", [1.0, 0.0]), ("q2", [0.0, 0.0]), ("q3", [1.0, 1.0])], "iri string, vec array<double>")
+    other = spark.createDataFrame([("t2", [0.0, 2.0]), ("t1", [3.0, 0.0]), ("t3", [-1.0, 0.0])], "iri string, vec array<float>")
+    got = [tuple(r) for r in al.nearest(own, other, 2, 9).orderBy("from_iri", "rank").collect()]
+    assert got == [("q1", "t1", 1.0, 1), ("q3", "t1", 0.707107, 1), ("q3", "t2", 0.707107, 2)]  # no score of 0; of equals the smaller
+    with pytest.raises(ValueError):
+        al.nearest(own, other, 2, 8)
+
+
 def test_run_is_resumed(spark, src, tgt, tmp_path):
     s = Settings(candidate_limits=[5, 2])
     out = run(spark, src, tgt, s, str(tmp_path))
