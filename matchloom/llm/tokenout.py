@@ -138,6 +138,10 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray, np
 
     Returns symbols, their ``ends``, and the left and right symbols of the rules; rule i is the
     symbol base + i.
+
+    A pair of symbols that were there in the round before can only have lost places since, so each
+    round counts just the places of pairs with a symbol new in the last one, or whose two sides were
+    in frequent pairs then.
     """
     seen = np.zeros(base, bool)
     seen[ids] = True
@@ -145,21 +149,29 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray, np
     number = np.zeros(base, np.int32)
     number[own] = np.arange(len(own))
     seq, left, right = number[ids], np.empty(0, np.int64), np.empty(0, np.int64)
+    opens = closes = np.ones(len(own), np.uint8)  # 2: a new symbol; 1: a side of a frequent pair
     while len(seq) > 1:
         top = len(own) + len(left)
         # a pair in one number, as short as the symbols allow
         pack, shift = (np.uint32, 16) if top < 1 << 16 else (np.uint64, 32)
-        none = np.iinfo(pack).max
-        wide = seq.astype(pack)
-        pairs = (wide[:-1] << pack(shift)) | wide[1:]
-        pairs[ends[:-1]] = none  # no pair goes over the end of a document
+        near = opens.take(seq[:-1])
+        near += closes.take(seq[1:])
+        near[ends[:-1]] = 0  # no pair goes over the end of a document
+        near = np.flatnonzero(near >= 2)
+        if not len(near):
+            break
+        one, two = seq[near], seq[near + 1]
+        pairs = (one.astype(pack) << pack(shift)) | two.astype(pack)
         pairs.sort()
         edge = np.flatnonzero(pairs[1:] != pairs[:-1]) + 1
         edge = np.concatenate([[0], edge, [len(pairs)]])
         count, kinds = np.diff(edge), pairs[edge[:-1]]
-        often = np.flatnonzero((count >= LEAST) & (kinds != none))
+        often = np.flatnonzero(count >= LEAST)
         if not len(often):
             break
+        opens, closes = np.zeros(top, np.uint8), np.zeros(top, np.uint8)
+        opens[(kinds[often] >> pack(shift)).astype(np.int64)] = 1
+        closes[(kinds[often] & pack((1 << shift) - 1)).astype(np.int64)] = 1
         often = often[np.lexsort((kinds[often], -count[often]))[:RULES_A_ROUND]]
         a, b = (kinds[often] >> pack(shift)).astype(np.int64), (kinds[often] & pack((1 << shift) - 1)).astype(np.int64)
         # a rule for each chosen (left, right), looked up over the symbols that are in one
@@ -168,21 +180,21 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray, np
         row[lefts], col[rights] = np.arange(1, len(lefts) + 1) * (len(rights) + 1), np.arange(1, len(rights) + 1)
         table = np.zeros((len(lefts) + 1) * (len(rights) + 1), np.int32)
         table[row[a] + col[b]] = np.arange(top, top + len(a))
-        place = row.take(seq[:-1])
-        place += col.take(seq[1:])
-        rule = table.take(place)
-        rule[ends[:-1]] = 0
+        rule = table.take(row.take(one) + col.take(two))
         # of overlapping occurrences each second one goes, from the left
-        at = np.flatnonzero(rule)
+        hit = np.flatnonzero(rule)
+        at, rule = near[hit], rule[hit]
         first = np.concatenate([[True], np.diff(at) > 1])
         begun = np.maximum.accumulate(np.where(first, at, 0))
-        at = at[(at - begun) % 2 == 0]
-        seq[at] = rule[at]
+        goes = (at - begun) % 2 == 0
+        at = at[goes]
+        seq[at] = rule[goes]
         ends = ends - np.searchsorted(at + 1, ends, side="right")
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         seq = seq[stay]
         left, right = np.concatenate([left, a]), np.concatenate([right, b])
+        opens, closes = (np.concatenate([x, np.full(len(a), 2, np.uint8)]) for x in (opens, closes))
     symbol = np.concatenate([own, base + np.arange(len(left))])
     return symbol[seq], ends, symbol[left], symbol[right]
 
