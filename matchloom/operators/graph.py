@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.tables import checkpointed
 from ..model import ROOT
-from .scorers import Scorer
+from .near import LEAST, near_labels
+from .scorers import Scorer, edit_scorer
 
 
 def named_edges(edges: DataFrame) -> DataFrame:
@@ -59,26 +60,42 @@ def ancestors(edges: DataFrame) -> DataFrame:
     return closure
 
 
+def _step(frontier: DataFrame, src_edges: DataFrame, tgt_edges: DataFrame, here: str, there: str) -> DataFrame:
+    s = src_edges.select(F.col(here).alias("src"), F.col(there).alias("src2"))
+    t = tgt_edges.select(F.col(here).alias("tgt"), F.col(there).alias("tgt2"))
+    return frontier.select("src", "tgt").join(s, "src").join(t, "tgt").select(F.col("src2").alias("src"), F.col("tgt2").alias("tgt"))
+
+
 def one_hop(frontier: DataFrame, src_edges: DataFrame, tgt_edges: DataFrame) -> DataFrame:
     """(src, tgt): parents with parents and children with children of each mapping."""
-    out = None
-    for here, there in (("child", "parent"), ("parent", "child")):
-        s = src_edges.select(F.col(here).alias("src"), F.col(there).alias("src2"))
-        t = tgt_edges.select(F.col(here).alias("tgt"), F.col(there).alias("tgt2"))
-        step = frontier.select("src", "tgt").join(s, "src").join(t, "tgt").select(F.col("src2").alias("src"), F.col("tgt2").alias("tgt"))
-        out = step if out is None else out.unionByName(step)
-    return out.distinct()
+    steps = [_step(frontier, src_edges, tgt_edges, *ways) for ways in (("child", "parent"), ("parent", "child"))]
+    return steps[0].unionByName(steps[1]).distinct()
+
+
+def near_hop(frontier: DataFrame, src_edges: DataFrame, tgt_edges: DataFrame, src_labels: DataFrame, tgt_labels: DataFrame, threshold: float) -> DataFrame:
+    """The pairs of ``one_hop`` but for those of children that have no two labels of an edit similarity
+    of ``threshold``: a mean over label pairs that reaches it has one that does.
+
+    Two classes with many children have far more pairs of children than near ones, so these are found
+    by their labels; parents are few."""
+    open_ = frontier.select("src", "tgt").distinct()
+    open_ = open_.join(src_edges.select(F.col("parent").alias("src")), "src", "left_semi").join(tgt_edges.select(F.col("parent").alias("tgt")), "tgt", "left_semi")
+    s = src_edges.select(F.col("parent").alias("src"), F.col("child").alias("iri")).join(src_labels.select("iri", F.col("label").alias("a")), "iri")
+    t = tgt_edges.select(F.col("parent").alias("tgt"), F.col("child").alias("iri")).join(tgt_labels.select("iri", F.col("label").alias("b")), "iri")
+    below = checkpointed(open_.join(s, "src").select("src", "tgt", "a", F.col("iri").alias("src2"))), checkpointed(open_.join(t, "tgt").select("src", "tgt", "b", F.col("iri").alias("tgt2")))
+    near = near_labels(*below, ["src", "tgt"], threshold)
+    children = near.join(below[0], ["src", "tgt", "a"]).join(below[1], ["src", "tgt", "b"]).select(F.col("src2").alias("src"), F.col("tgt2").alias("tgt"))
+    return _step(frontier, src_edges, tgt_edges, "child", "parent").unionByName(children).distinct()
 
 
 def score_pairs(pairs: DataFrame, src_labels: DataFrame, tgt_labels: DataFrame, scorer: Scorer, places: int = 6) -> DataFrame:
-    """(src, tgt, score): 1 for pairs that share a label, else the mean over label pairs."""
-    s = src_labels.select(F.col("iri").alias("src"), F.col("label").alias("a"))
-    t = tgt_labels.select(F.col("iri").alias("tgt"), F.col("label").alias("b"))
-    rows = pairs.select("src", "tgt").join(s, "src").join(t, "tgt")
-    exact = rows.where("a = b").select("src", "tgt").distinct()
-    rest = rows.join(exact, ["src", "tgt"], "left_anti").select(F.col("src").alias("from_iri"), F.col("tgt").alias("to_iri"), F.lit(1).alias("rank"), "a", "b")
-    scored = scorer(rest).groupBy(F.col("from_iri").alias("src"), F.col("to_iri").alias("tgt")).agg(F.round(F.avg("score"), places).alias("score"))
-    return exact.withColumn("score", F.lit(1.0)).unionByName(scored)
+    """(src, tgt, score): 1 for pairs that share a label, else the mean over label pairs; null labels
+    do not count."""
+    s = src_labels.where("label is not null").select(F.col("iri").alias("src"), F.col("label").alias("a"))
+    t = tgt_labels.where("label is not null").select(F.col("iri").alias("tgt"), F.col("label").alias("b"))
+    rows = pairs.select("src", "tgt").join(s, "src").join(t, "tgt").select(F.col("src").alias("from_iri"), F.col("tgt").alias("to_iri"), F.lit(1).alias("rank"), "a", "b")
+    score = F.when(F.max(F.col("a") == F.col("b")), F.lit(1.0)).otherwise(F.round(F.avg("score"), places))
+    return scorer(rows).groupBy(F.col("from_iri").alias("src"), F.col("to_iri").alias("tgt")).agg(score.alias("score"))
 
 
 def extend(mappings: DataFrame, src_edges: DataFrame, tgt_edges: DataFrame, src_labels: DataFrame, tgt_labels: DataFrame, scorer: Scorer, threshold: float = 0.9, max_iter: int = 50) -> DataFrame:
@@ -86,11 +103,15 @@ def extend(mappings: DataFrame, src_edges: DataFrame, tgt_edges: DataFrame, src_
 
     Each round scores the neighbours of the last round's mappings that are not known yet and
     keeps those that reach the threshold, until none do. A mapping below the threshold is not
-    known, so it can come back."""
+    known, so it can come back. For edit similarity and a threshold of ``LEAST`` or more, neighbours
+    that cannot reach it are not paired; what comes out is the same."""
+    least = threshold - 1e-6  # scores are rounded
+    by_label = scorer is edit_scorer and least >= LEAST
     seen = checkpointed(mappings.where(F.col("score") >= threshold).select("src", "tgt").distinct())
     frontier, out = seen, None
     for hop in range(1, max_iter + 1):
-        fresh = one_hop(frontier, src_edges, tgt_edges).join(seen, ["src", "tgt"], "left_anti")
+        hop_ = near_hop(frontier, src_edges, tgt_edges, src_labels, tgt_labels, least) if by_label else one_hop(frontier, src_edges, tgt_edges)
+        fresh = hop_.join(seen, ["src", "tgt"], "left_anti")
         kept = checkpointed(score_pairs(fresh, src_labels, tgt_labels, scorer).where(F.col("score") >= threshold).withColumn("hop", F.lit(hop)))
         if kept.isEmpty():
             break

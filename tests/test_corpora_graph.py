@@ -6,10 +6,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from matchloom.functions.text import edit_similarity
 from matchloom.model import ROOT
 from matchloom.operators import corpora as co
 from matchloom.operators import graph as gr
 from matchloom.operators import repair as rp
+from matchloom.operators.near import near_labels
 from matchloom.operators.scorers import edit_scorer
 
 
@@ -169,3 +171,38 @@ def test_repair_leaves_no_conflict_and_drops_no_free_mapping(spark):
     assert rp.conflicts(left, s, t).isEmpty()
     touched = links.select("src", "tgt").unionByName(links.select(F.col("src2").alias("src"), F.col("tgt2").alias("tgt")))
     assert maps.join(left, ["src", "tgt"], "left_anti").join(touched, ["src", "tgt"], "left_anti").isEmpty()
+
+
+def test_near_labels_are_those_of_all_pairs(spark):
+    r = random.Random(5)
+    text = lambda n: "".join(r.choice("abß ") for _ in range(n))
+
+    def change(s: str) -> str:
+        for _ in range(r.randrange(5)):
+            at = r.randrange(len(s) + 1)
+            s = s[:at] + r.choice(["", "a", "xy"]) + s[at + r.randrange(2) :]
+        return s
+
+    one = [text(n % 45) for n in range(120)] + ["", None]
+    two = [change(s) for s in one if s is not None] + [text(r.randrange(6)) for _ in range(30)] + ["", None]
+    a = spark.createDataFrame([(i % 2, s) for i, s in enumerate(one)], "g int, a string")
+    b = spark.createDataFrame([(i % 2, s) for i, s in enumerate(two)], "g int, b string")
+    for threshold in (0.75, 0.8, 0.9, 0.94, 1.0):
+        want = {(x["g"], x["a"], x["b"]) for x in a.join(b, "g").dropna().where(edit_similarity(F.col("a"), F.col("b")) >= threshold).collect()}
+        got = near_labels(a, b, ["g"], threshold).collect()
+        assert len(got) == len(want) > 0 and {tuple(x) for x in got} == want
+    with pytest.raises(ValueError):
+        near_labels(a, b, ["g"], 0.7)
+
+
+def test_extension_pairs_only_near_children(spark):
+    n = 300
+    s, t = edges(spark, *((f"s{i}", "s") for i in range(n))), edges(spark, *((f"t{i}", "t") for i in range(n)))
+    labels = lambda x: spark.createDataFrame([(x, x, "top")] + [(x, f"{x}{i}", f"company {i * i:09}") for i in range(n)] + [(x, f"{x}{i}", f"other name {i}") for i in range(0, n, 3)], "onto string, iri string, label string")
+    ls, lt = labels("s"), labels("t")
+    seed = spark.createDataFrame([("s", "t", 1.0)], "src string, tgt string, score double")
+    assert gr.near_hop(seed, s, t, ls, lt, 0.94).count() < n * n / 10
+    plain = lambda rows: edit_scorer(rows)  # noqa: E731  (not known as edit similarity, so all are paired)
+    for threshold in (0.8, 0.94):
+        got, want = (sorted(map(tuple, gr.extend(seed, s, t, ls, lt, f, threshold).collect())) for f in (edit_scorer, plain))
+        assert got == want and len(got) >= n
