@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tables import dense_index
+from ..functions.tables import checkpointed, dense_index
 from ..functions.text import hash_int
 
 SEED = 888
@@ -31,12 +31,13 @@ def identity_synonyms(labels: DataFrame) -> DataFrame:
 
 def not_synonyms(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """Pairs of different labels that are no synonyms in either order."""
-    either = known.select("a", "b").unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    return pairs.where("a <> b").join(either, ["a", "b"], "left_anti")
+    return pairs.where("a <> b").join(both_ways(known), ["a", "b"], "left_anti")
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
-    return pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    """(a, b) of pairs in either order; they are worked out once."""
+    turned = F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
+    return pairs.select(F.explode(F.array(F.struct("a", "b"), turned)).alias("_pair")).select("_pair.*").distinct()
 
 
 def _other(idx: Column, n: Column, draw: Column) -> Column:
@@ -53,7 +54,7 @@ def soft_draws(labels: DataFrame, rate: int, seed: int = SEED) -> DataFrame:
     """(a, b): per class and label, ``rate`` draws of a label of another class, unchecked.
 
     Only classes with labels are drawn."""
-    classes = dense_index(labels.select("iri").distinct(), ["iri"])
+    classes = checkpointed(dense_index(labels.select("iri").distinct(), ["iri"]))  # read three times
     n = classes.agg(F.count("*").alias("n"))
     rows = labels.select("iri", "label").join(classes, "iri").crossJoin(F.broadcast(n)).where("n > 1")  # one row
     rows = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(rate))))
@@ -97,7 +98,7 @@ def cross_synonyms(mappings: DataFrame, src: DataFrame, tgt: DataFrame) -> DataF
 
 def cross_soft_nonsynonyms(mappings: DataFrame, src: DataFrame, tgt: DataFrame, known: DataFrame, rate: int = 10, seed: int = SEED) -> DataFrame:
     """(a, b): a label of a mapped class with one of the opposite class of another mapping."""
-    maps = dense_index(mappings.select("src", "tgt").distinct(), ["src", "tgt"])
+    maps = checkpointed(dense_index(mappings.select("src", "tgt").distinct(), ["src", "tgt"]))  # read five times
     n = maps.agg(F.count("*").alias("n"))
     out = None
     for own, other, labels, texts in (("src", "tgt", src, tgt), ("tgt", "src", tgt, src)):
@@ -144,7 +145,7 @@ def label_rows(pairs: DataFrame) -> DataFrame:
 
 def take(pairs: DataFrame, n: int, seed: int = SEED) -> DataFrame:
     """``n`` of the pairs (a, b), the first by hash; an error if there are fewer."""
-    salted = dense_index(pairs.select("a", "b", F.lit(seed).alias("_seed")), ["_seed", "a", "b"])
+    salted = checkpointed(dense_index(pairs.select("a", "b", F.lit(seed).alias("_seed")), ["_seed", "a", "b"]))
     if salted.count() < n:
         raise ValueError(f"fewer than {n} non-synonyms: lower the rate or sample more")
     return salted.where(F.col("idx") < n).select("a", "b")
@@ -178,8 +179,8 @@ def split(rows: DataFrame, key: list[str], shares: dict[str, float], seed: int =
     Each share but the last is cut off what is left, the rest rounded up; by hash order."""
     if abs(sum(shares.values()) - 1) > 1e-9:
         raise ValueError("shares do not sum to 1")
-    numbered = dense_index(rows.withColumn("_seed", F.lit(seed)), ["_seed", *key]).drop("_seed")
-    left, share, at, name = rows.count(), 1.0, 0, F.lit(None).cast("string")
+    numbered = checkpointed(dense_index(rows.withColumn("_seed", F.lit(seed)), ["_seed", *key]).drop("_seed"))
+    left, share, at, name = numbered.count(), 1.0, 0, F.lit(None).cast("string")
     for k, (part, s) in enumerate(shares.items()):
         last = k == len(shares) - 1
         n = left if last else left - math.ceil(round(left * (share - s) / share, 9))

@@ -204,8 +204,9 @@ def cross_synonyms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _cross(spark: SparkSession, d: str, maps: DataFrame) -> DataFrame:
-    s, t = fx.class_labels(spark, d, "SRC"), fx.class_labels(spark, d, "TGT")
-    known = co.cross_synonyms(maps, s, t)
+    s, t = (checkpointed(fx.class_labels(spark, d, side)) for side in SIDES)
+    maps = checkpointed(maps)
+    known = checkpointed(co.cross_synonyms(maps, s, t))
     return co.corpus(known, co.cross_soft_nonsynonyms(maps, s, t, known, SOFT))
 
 
@@ -214,7 +215,10 @@ def cross_soft_negatives(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _intra(spark: SparkSession, d: str, side: str) -> DataFrame:
-    return co.corpus(co.synonyms(fx.class_labels(spark, d, side)), _soft(spark, d, side), _hard(spark, d, side))
+    """The corpus of a side, stored, as those who read it do so several times."""
+    labels, edges = checkpointed(fx.class_labels(spark, d, side)), fx.class_edges(spark, d, side)
+    known = checkpointed(co.synonyms(labels))
+    return checkpointed(co.corpus(known, co.soft_nonsynonyms(labels, known, SOFT), co.hard_nonsynonyms(labels, edges, known)))
 
 
 def corpus_merge(spark: SparkSession, d: str) -> DataFrame:

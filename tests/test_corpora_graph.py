@@ -13,6 +13,7 @@ from matchloom.operators import graph as gr
 from matchloom.operators import repair as rp
 from matchloom.operators.near import near_labels
 from matchloom.operators.scorers import edit_scorer
+from matchloom.plans import queries
 
 
 def labels(spark, classes):
@@ -206,3 +207,11 @@ def test_extension_pairs_only_near_children(spark):
     for threshold in (0.8, 0.94):
         got, want = (sorted(map(tuple, gr.extend(seed, s, t, ls, lt, f, threshold).collect())) for f in (edit_scorer, plain))
         assert got == want and len(got) >= n
+
+
+def test_fine_tuning_data_is_made_of_stored_corpora(spark):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    once = co.both_ways(spark.range(4).selectExpr("id AS a", "id + 1 AS b"))
+    assert plan(once).count("Range") == 1 and pairs(once) == {p for i in range(4) for p in ((i, i + 1), (i + 1, i))}
+    final = plan(queries.finetune_us(spark, "/root/testdata/sf0.001"))
+    assert "parquet" not in final and len(final.splitlines()) < 150  # no corpus is worked out again for each use
