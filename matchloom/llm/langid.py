@@ -45,6 +45,8 @@ TRAIN_BYTES, TRAIN_ROWS = 300_000, 1024
 SHARD_LANGS = 32
 MAX_CONTEXTS = 1 << 16
 EVIDENCE = 64
+#: Contexts whose code lengths are worked out at a time.
+ROWS = 1024
 SEED = 11
 UNKNOWN = "und"
 #: A text whose best language has less than this score is dropped by ``keep_known``, unless that
@@ -87,7 +89,8 @@ class PPM:
         # contexts by depth; where: the positions whose context is still followed, at: their context
         parents, links = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
         where, at, n = np.arange(len(sym)), np.zeros(len(sym), np.int64), 1
-        members = [(where, at)]
+        short = np.int32 if len(sym) < 1 << 31 else np.int64
+        members = [(where.astype(short), at.astype(short))]
         for depth in range(1, order + 1):
             ok = place[where] >= depth
             where, at = where[ok], at[ok]
@@ -102,29 +105,34 @@ class PPM:
             links.append(kinds[keep])
             at = name[inverse]
             where, at = where[at > 0], at[at > 0]
-            members.append((where, at))
+            members.append((where.astype(short), at.astype(short)))
             n += int(keep.sum())
         self.child = np.zeros(n * size, np.int32)
         parent, link = np.concatenate(parents), np.concatenate(links)
         self.child[link[1:]] = np.arange(1, n)
-        counts = np.zeros((n, len(self.langs), size))
-        for where, at in members:
-            np.add.at(counts, (at, lang[where], sym[where]), 1.0)
+        # level by level and some contexts at a time, so that the driver holds the shares of one level
         self.bits = np.empty((n * size, len(self.langs)), np.float32)
-        p = np.empty((n, len(self.langs), size))
-        first = 0
-        for level in parents:
-            rows = slice(first, first + len(level))
-            c = counts[rows]
-            lower = p[parent[rows]] if first else np.full_like(c, 1.0 / size)
-            got = c > 0
-            total, kinds = c.sum(-1, keepdims=True), got.sum(-1, keepdims=True)
-            rest = np.where(got, 0.0, lower).sum(-1, keepdims=True)
-            escape = np.where(rest > 0, kinds / np.maximum(total + kinds, 1), 0.0)
-            share = c / np.maximum(total, 1) * (1 - escape)
-            p[rows] = np.where(total > 0, np.where(got, share, escape * lower / np.where(rest > 0, rest, 1.0)), lower)
-            first += len(level)
-        self.bits[:] = -np.log2(p).transpose(0, 2, 1).reshape(n * size, -1)
+        above, up, first = np.empty(0), 0, 0
+        for depth, (level, (where, at)) in enumerate(zip(parents, members)):
+            by = np.argsort(at, kind="stable")
+            where, at = where[by], at[by]
+            shares = np.empty((len(level) if depth + 1 < len(parents) else 0, len(self.langs), size))
+            for low in range(first, first + len(level), ROWS):
+                high = min(low + ROWS, first + len(level))
+                some = slice(*np.searchsorted(at, [low, high]))
+                cell = ((at[some].astype(np.int64) - low) * len(self.langs) + lang[where[some]]) * size + sym[where[some]]
+                c = np.bincount(cell, minlength=(high - low) * len(self.langs) * size).astype(float).reshape(high - low, len(self.langs), size)
+                lower = above[parent[low:high] - up] if first else np.full_like(c, 1.0 / size)
+                got = c > 0
+                total, kinds = c.sum(-1, keepdims=True), got.sum(-1, keepdims=True)
+                rest = np.where(got, 0.0, lower).sum(-1, keepdims=True)
+                escape = np.where(rest > 0, kinds / np.maximum(total + kinds, 1), 0.0)
+                share = c / np.maximum(total, 1) * (1 - escape)
+                p = np.where(total > 0, np.where(got, share, escape * lower / np.where(rest > 0, rest, 1.0)), lower)
+                self.bits[low * size : high * size] = -np.log2(p).transpose(0, 2, 1).reshape((high - low) * size, -1)
+                if len(shares):
+                    shares[low - first : high - first] = p
+            above, up, first = shares, first, first + len(level)
 
     def lengths(self, lines: list[bytes]) -> np.ndarray:
         """Code lengths in bits, a row per line and a column per language; lines are not empty."""

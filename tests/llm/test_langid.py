@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -153,3 +154,14 @@ def test_the_query_equals_brute_force(spark, tmp_path):
             score = 1 / sum(2 ** ((bits[name] - b) * min(1, langid.EVIDENCE / len(x))) for b in bits.values())
         assert (got[i]["lang_pred"], got[i]["held_out"]) == (name, i in held) and math.isclose(got[i]["score"], score, abs_tol=1e-3), (t, got[i], name, score)
     assert len(got) == len(docs)
+
+
+def test_training_holds_little_more_than_the_model():
+    r = np.random.default_rng(7)
+    words = [bytes(r.integers(97, 123, 5).astype(np.uint8)) for _ in range(4000)]
+    texts = {n: [b" ".join(words[i] for i in r.integers(0, 4000, 8000))] for n in ("a", "b", "c", "d")}
+    tracemalloc.start()
+    model = langid.PPM(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.child) > 500_000 and peak < 8 * model.bits.nbytes
