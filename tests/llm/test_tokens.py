@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -11,7 +12,7 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer, models
+from tokenizers import Tokenizer, models, pre_tokenizers
 
 from matchloom.llm import spiece, tokenout
 from matchloom.llm.queries import queries
@@ -52,6 +53,46 @@ def test_any_text_encodes_as_whole(plain, text):
     assert np.frombuffer(encoder().encode([text])[0], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_new_words_go_to_the_model_alone(plain):
+    texts = ["some words hehewhouthwh Größe éàÿǅ 007 12345678901234567890", "x" * 3000 + " qqq" * 50, ""]
+    want = [x.ids for x in plain.encode_batch(texts, add_special_tokens=False)]
+    with open(tokenout.tokenizer_path(), "rb") as f:
+        own = tokenout.Encoder(f.read(), added=True)
+    own.tokenizer = SimpleNamespace(model=own.tokenizer.model)  # no regex, offsets or other part of the pipeline
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == want
+
+
+def test_pieces_that_the_pattern_cuts_further(plain):
+    texts = [".'s", "a.'sb ''ll", "x2y", "日本2語'd .", " a²b½", "é'ré", "мир7 мир.", " 1a", "\u0345\u0301e", "ab'1"] * 2
+    with open(tokenout.tokenizer_path(), "rb") as f:
+        own = tokenout.Encoder(f.read())
+    for some in (texts, texts[::-1], *([t] for t in texts)):
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(some)] == [plain.encode(t, add_special_tokens=False).ids for t in some]
+
+
+def test_letters_of_words_are_letters_to_the_library():
+    letters = "".join(c for c in map(chr, range(0x110000)) if not "\ud800" <= c <= "\udfff" and tokenout.SINGLE.fullmatch(c) and not c.isdigit())
+    assert len(letters) > 30_000
+    assert len(pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str(letters)) == 1
+
+
+def test_characters_of_bytes_are_the_librarys():
+    got = "".join(map(chr, tokenout.CHARS.tolist()))
+    assert len(set(got)) == 256 and set(got) == set(pre_tokenizers.ByteLevel.alphabet())
+    text = "".join(map(chr, range(0x250))) + "\U0001f600\uffff\U000fffff"  # all bytes that UTF-8 has but a few of its first ones
+    ((mapped, _),) = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(text)
+    assert "".join(got[b] for b in text.encode()) == mapped
+
+
+def test_added_tokens_that_are_not_special_keep_their_ids():
+    t = Tokenizer.from_file(tokenout.tokenizer_path())
+    t.add_tokens(["zqx"])
+    texts = ["a zqx b", "zqx", "azqxb zq x"]
+    want = [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+    for added in (True, False):
+        assert [np.frombuffer(x, "<u4").tolist() for x in tokenout.Encoder(t.to_str().encode(), added).encode(texts)] == want
+
+
 def test_a_full_table_still_encodes():
     table = WordTable(lambda words: [w.encode() for w in words], kept=2)
     assert table.ids([["a", "b"], ["c", "a"]]) == [b"ab", b"ca"] and not table.known
