@@ -143,22 +143,22 @@ def label_rows(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("sent1"), F.col("b").alias("sent2"), label.alias("label")).distinct()
 
 
-def take(pairs: DataFrame, n: int, seed: int = SEED) -> DataFrame:
-    """``n`` of the pairs (a, b), the first by hash; an error if there are fewer."""
+def take(pairs: DataFrame, n: int, seed: int = SEED, fewer: bool = False) -> DataFrame:
+    """``n`` of the pairs (a, b), the first by hash; if there are fewer, an error, or with ``fewer`` all."""
     salted = checkpointed(dense_index(pairs.select("a", "b", F.lit(seed).alias("_seed")), ["_seed", "a", "b"]))
-    if salted.count() < n:
+    if not fewer and salted.count() < n:
         raise ValueError(f"fewer than {n} non-synonyms: lower the rate or sample more")
     return salted.where(F.col("idx") < n).select("a", "b")
 
 
-def cross_label_data(pairs: DataFrame, soft_rate: int, seed: int = SEED) -> DataFrame:
+def cross_label_data(pairs: DataFrame, soft_rate: int, seed: int = SEED, fewer: bool = False) -> DataFrame:
     """All synonyms of a corpus with ``soft_rate`` soft non-synonyms for each."""
     known = pairs.where("kind = 'synonym'").select("a", "b")
-    soft = take(pairs.where("kind = 'soft'"), soft_rate * known.count(), seed)
+    soft = take(pairs.where("kind = 'soft'"), soft_rate * known.count(), seed, fewer)
     return label_rows(corpus(known, soft))
 
 
-def intra_label_data(pairs: DataFrame, identity: DataFrame, soft_rate: int, hard_rate: int, val_ratio: float = 0.2, seed: int = SEED) -> DataFrame:
+def intra_label_data(pairs: DataFrame, identity: DataFrame, soft_rate: int, hard_rate: int, val_ratio: float = 0.2, seed: int = SEED, fewer: bool = False) -> DataFrame:
     """(sent1, sent2, label, split): label data of a corpus without and with identity pairs.
 
     Splits are train and val over synonyms and their negatives, and train_ids and val_ids over
@@ -167,7 +167,7 @@ def intra_label_data(pairs: DataFrame, identity: DataFrame, soft_rate: int, hard
     soft, hard = pairs.where("kind = 'soft'"), pairs.where("kind = 'hard'")
     for known, suffix, salt in ((pairs.where("kind = 'synonym'").select("a", "b"), "", 0), (identity, "_ids", 10)):
         n = known.count()
-        rows = label_rows(corpus(known, take(soft, soft_rate * n, seed + salt), take(hard, hard_rate * n, seed + salt + 1)))
+        rows = label_rows(corpus(known, take(soft, soft_rate * n, seed + salt, fewer), take(hard, hard_rate * n, seed + salt + 1, fewer)))
         cut = split(rows, ["sent1", "sent2", "label"], {"train" + suffix: 1 - val_ratio, "val" + suffix: val_ratio}, seed)
         out = cut if out is None else out.unionByName(cut)
     return out
@@ -189,11 +189,11 @@ def split(rows: DataFrame, key: list[str], shares: dict[str, float], seed: int =
     return numbered.withColumn("split", name).drop("idx")
 
 
-def semi_supervised(intra: DataFrame, identity: DataFrame, cross: dict[str, DataFrame], soft_rate: int, hard_rate: int, cross_rate: int, seed: int = SEED) -> DataFrame:
+def semi_supervised(intra: DataFrame, identity: DataFrame, cross: dict[str, DataFrame], soft_rate: int, hard_rate: int, cross_rate: int, seed: int = SEED, fewer: bool = False) -> DataFrame:
     """(split, sent1, sent2, label): train, train+ (with identity pairs), val, test; ``cross`` has
-    the corpora of the train, val and test mappings."""
-    io = intra_label_data(intra, identity, soft_rate, hard_rate, 0.0, seed)
-    data = {name: cross_label_data(c, cross_rate, seed) for name, c in cross.items()}
+    the corpora of the train, val and test mappings. ``fewer``: see ``take``."""
+    io = intra_label_data(intra, identity, soft_rate, hard_rate, 0.0, seed, fewer)
+    data = {name: cross_label_data(c, cross_rate, seed, fewer) for name, c in cross.items()}
     plain = io.where("split = 'train'").drop("split").unionByName(data["train"])
     parts = {"train": plain, "train+": plain.unionByName(io.where("split = 'train_ids'").drop("split")), "val": data["val"], "test": data["test"]}
     return _splits(parts)

@@ -258,7 +258,7 @@ def finetune_us(spark: SparkSession, d: str) -> DataFrame:
 def finetune_ss(spark: SparkSession, d: str) -> DataFrame:
     merged, parts = checkpointed(corpus_merge(spark, d)), checkpointed(split_mappings(spark, d))
     cross = {name: checkpointed(_cross(spark, d, parts.where(F.col("split") == name))) for name in ("train", "val", "test")}
-    return co.semi_supervised(merged, _identity(spark, d), cross, 1, 1, 1)
+    return co.semi_supervised(merged, _identity(spark, d), cross, 1, 1, 1, fewer=True)
 
 
 def finetune_conflicts(spark: SparkSession, d: str) -> DataFrame:

@@ -82,6 +82,11 @@ def test_take(spark):
         co.take(p, 10)
 
 
+def test_take_all_where_there_are_fewer(spark):
+    p = spark.createDataFrame([(str(i), "x") for i in range(9)], "a string, b string")
+    assert pairs(co.take(p, 10, fewer=True)) == pairs(p) and pairs(co.take(p, 4, fewer=True)) == pairs(co.take(p, 4))
+
+
 def test_label_data_and_conflicts(spark):
     known = [(a, b, "synonym") for i in range(5) for a, b in itertools.permutations((f"a{i}", f"b{i}"))]
     bad = [(f"a{i}", f"a{j}", kind) for i in range(5) for j in range(5) if i != j for kind in ("soft", "hard")]
