@@ -199,12 +199,12 @@ def semi_supervised(intra: DataFrame, identity: DataFrame, cross: dict[str, Data
     return _splits(parts)
 
 
-def unsupervised(intra: DataFrame, identity: DataFrame, cross: DataFrame, soft_rate: int, hard_rate: int, cross_rate: int, seed: int = SEED) -> DataFrame:
+def unsupervised(intra: DataFrame, identity: DataFrame, cross: DataFrame, soft_rate: int, hard_rate: int, cross_rate: int, seed: int = SEED, fewer: bool = False) -> DataFrame:
     """(split, sent1, sent2, label): train, train+, val, val+ of one hierarchy's corpus, and all
-    mappings as test."""
-    io = intra_label_data(intra, identity, soft_rate, hard_rate, 0.2, seed)
+    mappings as test. ``fewer``: see ``take``."""
+    io = intra_label_data(intra, identity, soft_rate, hard_rate, 0.2, seed, fewer)
     part = lambda *names: io.where(F.col("split").isin(*names)).drop("split")
-    parts = {"train": part("train"), "train+": part("train", "train_ids"), "val": part("val"), "val+": part("val", "val_ids"), "test": cross_label_data(cross, cross_rate, seed)}
+    parts = {"train": part("train"), "train+": part("train", "train_ids"), "val": part("val"), "val+": part("val", "val_ids"), "test": cross_label_data(cross, cross_rate, seed, fewer)}
     return _splits(parts)
 
 

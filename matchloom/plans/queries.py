@@ -252,7 +252,7 @@ def _identity(spark: SparkSession, d: str) -> DataFrame:
 
 def finetune_us(spark: SparkSession, d: str) -> DataFrame:
     merged, cross = checkpointed(corpus_merge(spark, d)), checkpointed(_cross(spark, d, fx.reference(spark, d)))
-    return co.unsupervised(merged, _identity(spark, d), cross, 1, 1, 1)
+    return co.unsupervised(merged, _identity(spark, d), cross, 1, 1, 1, fewer=True)
 
 
 def finetune_ss(spark: SparkSession, d: str) -> DataFrame:

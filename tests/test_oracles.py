@@ -22,7 +22,7 @@ def test_query_equals_oracle(spark, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", ["finetune_ss"])
+@pytest.mark.parametrize("name", ["finetune_ss", "finetune_us"])
 def test_fine_tuning_data_of_parts_with_every_type(spark, tmp_path, name):
     """Classes with every type have more synonyms than their siblings have other pairs: all of these are taken."""
     made = itertools.product(("hot bolt", "old ring", "blue ring", "large plate"), ("Brand#1", "Brand#2", "Brand#13"), ("SMALL", "LARGE", "PROMO", "STANDARD"), range(2))
